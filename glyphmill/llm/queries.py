@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import fusion, splitting
+from glyphmill.llm import fusion, lookalikes, splitting
 from glyphmill.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,17 @@ def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("query_id", "chunk_id", "rank")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks that look the same but are spelled differently."""
+    return lookalikes.same_look_pairs(read_table(spark, sf_dir, "chunks"))
+
+
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one form of every chunk."""
+    chunks = read_table(spark, sf_dir, "chunks").select("id", "text")
+    return lookalikes.with_form(chunks).select("id", "form")
+
+
 def queries() -> dict[str, Query]:
     """Every pN_ query by name."""
     return {
@@ -45,6 +56,8 @@ def queries() -> dict[str, Query]:
         "p1_pieces": p1_pieces,
         "p2_found": p2_found,
         "p2_ranking": p2_ranking,
+        "p4_found": p4_found,
+        "p4_forms": p4_forms,
     }
 
 

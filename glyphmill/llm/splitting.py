@@ -25,7 +25,7 @@ _PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)+")
 _SENTENCE = re.compile(rf"(?:[{SENTENCE_MARKS}]+|\.+(?=[\s{re.escape(CLOSERS)}]|$))[{re.escape(CLOSERS)}]*")
 _CLAUSE = re.compile(rf"[{CLAUSE_MARKS}]+[{re.escape(CLOSERS)}]*")
 _BLANK = re.compile(r"\s+")
-_LATIN_WORD = re.compile(r"[^\W_฀-໿ᄀ-ᇿ⺀-\U0003ffff]+")
+_LATIN_WORD = re.compile(r"[^\W_\u0e00-\u0effᄀ-ᇿ⺀-\U0003ffff]+")
 
 PIECES = T.ArrayType(
     T.StructType([T.StructField("start_pos", T.IntegerType()), T.StructField("text", T.StringType())])
@@ -35,7 +35,7 @@ PIECES = T.ArrayType(
 def _glued(text: str, at: int) -> bool:
     """Whether a cut before ``at`` would part what is shown as one character."""
     before, after = text[at - 1], text[at]
-    if before == "\r" and after == "\n" or before == "‍" or after in "‍︎️":
+    if before == "\r" and after == "\n" or before == "\u200d" or after in "\u200d\ufe0e\ufe0f":
         return True
     if "\U0001f3fb" <= after <= "\U0001f3ff":
         return True
