@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,4 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the data folder ``sf_dir``."""
+    # Python workers find this package also where only the driver has it on its path
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, but as a compressed Parquet table, of which later reads take only the columns they need."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
