@@ -155,8 +155,8 @@ def rewriter(table: dict[str, str]):
     joiner = table.pop("\u200d", None)
     longer = sorted((m for m in table if len(m) > 1), key=len, reverse=True)
     single = "".join(map(re.escape, sorted(m for m in table if len(m) == 1 and m <= "\uffff")))
-    # a class within the first plane is looked up in a table; the few rarer ones are looked up in the dictionary
-    parts = [*map(re.escape, longer), f"[{single}]" if single else "", "[\U00010000-\U0010ffff]"]
+    # the first plane is looked up in a bit table, the rarer characters in the dictionary
+    parts = [*map(re.escape, longer), f"[{single}\U00010000-\U0010ffff]"]
     if joiner is not None:  # between two pictures the joiner makes them one
         table["\u200d"] = joiner
         parts += [f"(?<![{_EMOJI}\U0001f3fb-\U0001f3ff\ufe0f])\u200d", f"\u200d(?![{_EMOJI}])"]

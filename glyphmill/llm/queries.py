@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import fusion, lookalikes, splitting
+from glyphmill.llm import fusion, lookalikes, neardup, splitting
 from glyphmill.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,22 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.with_form(chunks).select("id", "form")
 
 
+def _texts_and_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = read_table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("rec"), "id", "text")
+    titles = read_table(spark, sf_dir, "docs").select(F.lit("docs").alias("rec"), "id", F.col("title").alias("text"))
+    return chunks.union(titles)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks with nearly the same text and of docs with nearly the same title."""
+    return neardup.duplicate_pairs(neardup.near_duplicates(_texts_and_titles(spark, sf_dir)))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every chunk and title."""
+    return neardup.near_duplicates(_texts_and_titles(spark, sf_dir)).select("rec", "id", F.col("component").alias("group_id"))
+
+
 def queries() -> dict[str, Query]:
     """Every pN_ query by name."""
     return {
@@ -58,6 +74,8 @@ def queries() -> dict[str, Query]:
         "p2_ranking": p2_ranking,
         "p4_found": p4_found,
         "p4_forms": p4_forms,
+        "p5_found": p5_found,
+        "p5_groups": p5_groups,
     }
 
 
