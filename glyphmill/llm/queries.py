@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import fusion, lookalikes, neardup, splitting
+from glyphmill.llm import fusion, lookalikes, neardup, neighbours, splitting
 from glyphmill.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,19 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_texts_and_titles(spark, sf_dir)).select("rec", "id", F.col("component").alias("group_id"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks of which one is among the five most similar of the other, from a cosine of 0.8."""
+    near = neighbours.similar_pairs(read_table(spark, sf_dir, "chunk_embeddings"))
+    a, b = F.col("chunk_id"), F.col("neighbour")
+    return near.where(F.col("cosine") >= 0.8).select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")).distinct()
+
+
+def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all chunks for each chunk whose id is divisible by 100."""
+    near = neighbours.nearest(read_table(spark, sf_dir, "chunk_embeddings"))
+    return near.select("model", "dim", "chunk_id", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def queries() -> dict[str, Query]:
     """Every pN_ query by name."""
     return {
@@ -76,6 +89,8 @@ def queries() -> dict[str, Query]:
         "p4_forms": p4_forms,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
+        "p6_found": p6_found,
+        "p6_nearest": p6_nearest,
     }
 
 
@@ -100,10 +115,25 @@ ranked AS (
 """
 
 
+_NEAR = """
+WITH ok AS (
+  SELECT DISTINCT model, dim, chunk_id, vec::DOUBLE[] AS v FROM chunk_embeddings
+  WHERE vec IS NOT NULL AND len(vec) = dim AND len(list_filter(vec, lambda x: isnan(x) OR x IS NULL)) = 0
+    AND len(list_filter(vec, lambda x: x <> 0)) > 0),
+unit AS (SELECT model, dim, chunk_id, v, sqrt(list_dot_product(v, v)) AS n FROM ok),
+pairs AS (
+  SELECT a.model, a.dim, a.chunk_id AS a, b.chunk_id AS b, list_dot_product(a.v, b.v) / (a.n * b.n) AS s
+  FROM unit a JOIN unit b ON a.model = b.model AND a.dim = b.dim AND a.chunk_id <> b.chunk_id),
+ranked AS (SELECT a, b, s, row_number() OVER (PARTITION BY model, dim, a ORDER BY s DESC, b) AS r FROM pairs)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM ranked WHERE r <= 5 AND s >= 0.8
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express on whole tables."""
     return {
         "p1_found": "SELECT DISTINCT id FROM chunks WHERE length(text) > 350",
         "p2_found": _FUSED + "SELECT query_id, chunk_id FROM ranked WHERE rank <= 10",
+        "p6_found": _NEAR,
         "p2_ranking": _FUSED + "SELECT query_id, chunk_id, rank::INTEGER AS rank FROM ranked",
     }
