@@ -12,3 +12,15 @@ def code_points(texts: list[str], gap: str = "\x00") -> tuple[np.ndarray, np.nda
     np.cumsum(lengths + len(gap), out=starts[1:])
     joined = gap.join(texts) + gap if texts else ""
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), starts
+
+
+def slices(texts: list[str], most: int = 2_000_000):
+    """(first, last) of runs of texts with about ``most`` code points in all."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= most:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import fusion, lookalikes, neardup, neighbours, splitting
+from glyphmill.llm import fusion, leaks, lookalikes, neardup, neighbours, splitting
 from glyphmill.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,17 @@ def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("model", "dim", "chunk_id", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items that leaked into them."""
+    return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p9_found, with the share of the item's text that recurs."""
+    found = leaks.leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "bench_items"))
+    return found.select("doc_id", "item_id", F.round("share", 4).alias("share"), "tiles")
+
+
 def queries() -> dict[str, Query]:
     """Every pN_ query by name."""
     return {
@@ -91,6 +102,8 @@ def queries() -> dict[str, Query]:
         "p5_groups": p5_groups,
         "p6_found": p6_found,
         "p6_nearest": p6_nearest,
+        "p9_found": p9_found,
+        "p9_leaks": p9_leaks,
     }
 
 
