@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import fusion, leaks, lookalikes, neardup, neighbours, splitting
+from glyphmill.llm import fusion, leaks, lookalikes, neardup, neighbours, sentences, splitting
 from glyphmill.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,11 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("share", 4).alias("share"), "tiles")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start and end of every sentence of the documents."""
+    return sentences.split_sentences(read_table(spark, sf_dir, "documents")).distinct()
+
+
 def queries() -> dict[str, Query]:
     """Every pN_ query by name."""
     return {
@@ -104,6 +109,7 @@ def queries() -> dict[str, Query]:
         "p6_nearest": p6_nearest,
         "p9_found": p9_found,
         "p9_leaks": p9_leaks,
+        "p10_found": p10_found,
     }
 
 
