@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import fusion, leaks, lookalikes, neardup, neighbours, sentences, splitting
+from glyphmill.llm import fusion, leaks, lookalikes, mojibake, neardup, neighbours, sentences, splitting
 from glyphmill.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,22 @@ def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("query_id", "chunk_id", "rank")
 
 
+def _texts_and_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = read_table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("rec"), F.col("id").alias("rec_id"), "text")
+    states = read_table(spark, sf_dir, "docs").select(F.lit("docs").alias("rec"), F.col("id").alias("rec_id"), F.col("state").alias("text"))
+    return chunks.union(states)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and docs with text or state decoded with a wrong encoding."""
+    return mojibake.repair(_texts_and_states(spark, sf_dir)).select("rec", "rec_id").distinct()
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text or state of these as it was written, as far as it can be told."""
+    return mojibake.repair(_texts_and_states(spark, sf_dir)).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks that look the same but are spelled differently."""
     return lookalikes.same_look_pairs(read_table(spark, sf_dir, "chunks"))
@@ -101,6 +117,8 @@ def queries() -> dict[str, Query]:
         "p1_pieces": p1_pieces,
         "p2_found": p2_found,
         "p2_ranking": p2_ranking,
+        "p3_found": p3_found,
+        "p3_restored": p3_restored,
         "p4_found": p4_found,
         "p4_forms": p4_forms,
         "p5_found": p5_found,
