@@ -146,30 +146,39 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
             best = " " if " " in group else "\n"
         else:
             best = min(group, key=lambda m: (-counts.get(m, 0), bool(_ODD.search(m)), len(m), m))
-        out.update((m, best) for m in group if m != best)
+        # strings that occur nowhere need no rewriting
+        out.update((m, best) for m in group if m != best and (len(m) == 1 or m == "\r\n" or counts.get(m, 0)))
     return out
 
 
+class _Mapping(dict):
+    """Code point to its replacement; others are entered as themselves when first met, as misses are slow."""
+
+    def __missing__(self, key: int) -> int:
+        self[key] = key
+        return key
+
+
 def rewriter(table: dict[str, str]):
     """Function that replaces every member in one pass, longest match first."""
-    joiner = table.pop("\u200d", None)
-    longer = sorted((m for m in table if len(m) > 1), key=len, reverse=True)
-    single = "".join(map(re.escape, sorted(m for m in table if len(m) == 1 and m <= "\uffff")))
-    # the first plane is looked up in a bit table, the rarer characters in the dictionary
-    parts = [*map(re.escape, longer), f"[{single}\U00010000-\U0010ffff]"]
-    if joiner is not None:  # between two pictures the joiner makes them one
-        table["\u200d"] = joiner
-        parts += [f"(?<![{_EMOJI}\U0001f3fb-\U0001f3ff\ufe0f])\u200d", f"\u200d(?![{_EMOJI}])"]
-    pattern = re.compile("|".join(p for p in parts if p))
-
-    def swap(match: re.Match) -> str:
-        return table.get(match[0], match[0])
+    single = _Mapping((ord(m), r) for m, r in table.items() if len(m) == 1)
+    longer = sorted((m for m in table if len(m) > 1 and m != "\r\n"), key=len, reverse=True)
+    strings = re.compile("|".join(map(re.escape, longer))) if longer else None
+    # between two pictures the joiner makes them one
+    joined = re.compile(f"(?<=[{_EMOJI}\ufe0f])\u200d(?=[{_EMOJI}])")
+
+    def once(text: str) -> str:
+        text = text.replace("\r\n", "\n")
+        if strings:
+            text = strings.sub(lambda m: table[m[0]], text)
+        if "\u200d" in text and joined.search(text):
+            return "\u200d".join(part.translate(single) for part in joined.split(text))
+        return text.translate(single)
 
     def rewrite(text: str) -> str:
-        once = pattern.sub(swap, unicodedata.normalize("NFD", text))
-        once = unicodedata.normalize("NFC", once)
+        form = unicodedata.normalize("NFC", once(unicodedata.normalize("NFD", text)))
         # a character that only now has its accent may be a member itself
-        return pattern.sub(swap, once)
+        return once(form) if strings else form
 
     return rewrite
 
