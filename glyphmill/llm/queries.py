@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import fusion, leaks, lookalikes, mojibake, neardup, neighbours, sentences, splitting
+from glyphmill.llm import fusion, leaks, lookalikes, mojibake, neardup, neighbours, packing, sentences, splitting
 from glyphmill.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,15 @@ def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("model", "dim", "chunk_id", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def _sequences(capacity: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sizes = packing.with_tokens(read_table(spark, sf_dir, "documents"))
+        return packing.pack(sizes, capacity)
+
+    run.__doc__ = f"A sequence of at most {capacity} tokens for every document."
+    return run
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items that leaked into them."""
     return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
@@ -125,6 +134,8 @@ def queries() -> dict[str, Query]:
         "p5_groups": p5_groups,
         "p6_found": p6_found,
         "p6_nearest": p6_nearest,
+        "p8_sequences_2048": _sequences(2048),
+        "p8_sequences_8192": _sequences(8192),
         "p9_found": p9_found,
         "p9_leaks": p9_leaks,
         "p10_found": p10_found,
