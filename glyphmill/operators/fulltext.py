@@ -98,7 +98,9 @@ def like_fallback(chunks: DataFrame, query: str) -> DataFrame:
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """(trigram, chunk_id, tf): the inverted index of all chunks, to be written once and reused."""
-    grams = F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.lower("text").substr(i, F.lit(3)))
+    # the lower-case text is bound once, outside the loop over places
+    low = F.array(F.lower("text"))
+    grams = F.flatten(F.transform(low, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: t.substr(i, F.lit(3)))))
     rows = chunks.where(F.length("text") >= 3).select(F.col(id_col).alias("chunk_id"), F.explode(grams).alias("trigram"))
     return rows.groupBy("trigram", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 

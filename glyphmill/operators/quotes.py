@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import difflib
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,9 +27,18 @@ EXTERNAL_ID = r"BV[0-9A-Za-z]{10}"
 QUOTE_BLOCK = 10_000
 
 
-def _folded(c: str) -> str:
-    n = unicodedata.normalize("NFKC", c)
-    return n if len(n) == 1 else c
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: its form without width, whether it is white space, and whether punctuation, separator or control."""
+    fold = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    blank, mark = np.zeros(len(fold), dtype=bool), np.zeros(len(fold), dtype=bool)
+    for c in range(len(fold)):
+        if 0xD800 <= c < 0xE000:
+            continue
+        form = unicodedata.normalize("NFKC", chr(c))
+        form = form if len(form) == 1 else chr(c)
+        fold[c], blank[c], mark[c] = ord(form), form.isspace(), unicodedata.category(form)[0] in "PZC"
+    return fold, blank, mark
 
 
 @dataclass
@@ -34,46 +46,59 @@ class View:
     """A text without some of its characters, and the place of each one kept."""
 
     text: str
-    places: list[int]
+    places: np.ndarray
 
     @classmethod
     def of(cls, text: str, loose: bool) -> View:
         """Without white space; if ``loose``, also without punctuation, separators and controls."""
-        kept = []
-        for i, c in enumerate(map(_folded, text)):
-            if not c.isspace() and not (loose and unicodedata.category(c)[0] in "PZC"):
-                kept.append((c, i))
-        return cls("".join(c for c, _ in kept), [i for _, i in kept])
+        fold, blank, mark = _tables()
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        places = np.flatnonzero(~(blank[points] | mark[points]) if loose else ~blank[points])
+        return cls(fold[points[places]].tobytes().decode("utf-32-le", "surrogatepass"), places)
 
 
-def locate(quote: str, text: str) -> tuple[str, int, int, int] | None:
-    """(tier, start, end, occurrences) of ``quote`` in ``text``: exact, without white space, without punctuation."""
-    at = text.find(quote) if quote else -1
+class Hay:
+    """A text with its views, each made when first asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self._views = text, {}
+
+    def view(self, loose: bool) -> View:
+        """The tight or the loose view."""
+        if loose not in self._views:
+            self._views[loose] = View.of(self.text, loose)
+        return self._views[loose]
+
+
+def locate(quote: str, hay: Hay) -> tuple[str, int, int, int] | None:
+    """(tier, start, end, occurrences) of ``quote``: exact, without white space, without punctuation."""
+    at = hay.text.find(quote) if quote else -1
     if at >= 0:
-        return "verbatim", at, at + len(quote), text.count(quote)
+        return "verbatim", at, at + len(quote), hay.text.count(quote)
     for tier, loose in (("whitespace", False), ("loose", True)):
-        needle, hay = View.of(quote, loose).text, View.of(text, loose)
-        at = hay.text.find(needle) if len(needle) >= MIN_CHARS else -1
+        needle, view = View.of(quote, loose).text, hay.view(loose)
+        at = view.text.find(needle) if len(needle) >= MIN_CHARS else -1
         if at >= 0:
-            return tier, hay.places[at], hay.places[at + len(needle) - 1] + 1, hay.text.count(needle)
+            return tier, int(view.places[at]), int(view.places[at + len(needle) - 1]) + 1, view.text.count(needle)
     return None
 
 
-def similarity(quote: str, text: str) -> tuple[float, int, int]:
-    """(ratio, start, end) of the window of ``text`` around its longest common block with ``quote``."""
-    needle, hay = View.of(quote, False), View.of(text, False)
-    block = difflib.SequenceMatcher(None, hay.text, needle.text, autojunk=False).find_longest_match()
+def similarity(quote: str, hay: Hay) -> tuple[float, int, int]:
+    """(ratio, start, end) of the window around the longest common block with ``quote``."""
+    needle, view = View.of(quote, False).text, hay.view(False)
+    match = difflib.SequenceMatcher(None, needle, view.text, autojunk=False)
+    block = match.find_longest_match()
     if block.size < 3:
         return 0.0, 0, 0
-    first = max(0, block.a - block.b - 12)
-    window = hay.text[first : first + len(needle.text) + 24]
-    match = difflib.SequenceMatcher(None, window, needle.text, autojunk=False)
+    first = max(0, block.b - block.a - 12)
+    window = view.text[first : first + len(needle) + 24]
+    match = difflib.SequenceMatcher(None, window, needle, autojunk=False)
     blocks = [b for b in match.get_matching_blocks() if b.size >= 3]
     if not blocks:
         return 0.0, 0, 0
     a, b = first + blocks[0].a, first + blocks[-1].a + blocks[-1].size
-    ratio = difflib.SequenceMatcher(None, hay.text[a:b], needle.text, autojunk=False).ratio()
-    return round(ratio, 3), hay.places[a], hay.places[b - 1] + 1
+    ratio = difflib.SequenceMatcher(None, view.text[a:b], needle, autojunk=False).ratio()
+    return round(ratio, 3), int(view.places[a]), int(view.places[b - 1]) + 1
 
 
 def differences(quote: str, actual: str, most: int = 6) -> tuple[list[str], list[str]]:
@@ -88,7 +113,7 @@ def differences(quote: str, actual: str, most: int = 6) -> tuple[list[str], list
     return extra[:most], missing[:most]
 
 
-def judge(quote: str, body: str, raw: str | None, fuzzy: bool = True) -> tuple[str, int, int, float, int]:
+def judge(quote: str, body: Hay, raw: Hay | None, fuzzy: bool = True) -> tuple[str, int, int, float, int]:
     """(status, start, end, ratio, occurrences) of a quote within one document."""
     hit = locate(quote, body)
     if hit:
@@ -102,6 +127,37 @@ def judge(quote: str, body: str, raw: str | None, fuzzy: bool = True) -> tuple[s
     return ("modified" if ratio >= MODIFIED_RATIO else "not_found"), a, b, ratio, 0
 
 
+def literal_hits(quotes: DataFrame, docs: DataFrame, seed: int = 12) -> DataFrame:
+    """(quote_id, doc_id) of the documents (doc_id, text) that hold a quotation (quote_id, quote) literally.
+
+    Quotes are taken in blocks of QUOTE_BLOCK, each broadcast for one pass over the
+    documents; a quote is looked for only where its first ``seed`` characters occur.
+    Null and empty quotes hit nothing.
+    """
+    rows = quotes.select("quote_id", "quote").where(F.length("quote") > 0)
+    blocks, found = max(1, -(-rows.count() // QUOTE_BLOCK)), None
+    for k in range(blocks):
+        own = rows.where(F.pmod(F.xxhash64("quote_id"), F.lit(blocks)) == k).distinct().collect()
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own])
+
+        def look(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            by_seed: dict[int, dict[str, list]] = {}
+            for q, quote in shared.value:
+                by_seed.setdefault(min(seed, len(quote)), {}).setdefault(quote[:seed], []).append((q, quote))
+            for batch in batches:
+                out = []
+                for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for size, table in by_seed.items():
+                        near = {text[i : i + size] for i in range(len(text) - size + 1)} & table.keys()
+                        out += [(q, doc) for s in near for q, quote in table[s] if quote in text]
+                yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int64()), pa.array([d for _, d in out], pa.int64())], ["quote_id", "doc_id"])
+
+        texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull())
+        hits = texts.mapInArrow(look, "quote_id long, doc_id long")
+        found = hits if found is None else found.union(hits)
+    return found.distinct()
+
+
 def tidy(quote: Column) -> Column:
     """Without paired Markdown emphasis and without quotation marks, brackets and blanks at the ends."""
     plain = F.regexp_replace(quote, r"(\*\*|__|\*|`)(.+?)\1", "$2")
@@ -145,23 +201,30 @@ def verify_fragments(parts: DataFrame, docs: DataFrame, fuzzy: bool = True) -> D
             quotes = shared.value
             by_seed: dict[int, dict[str, list[int]]] = {}
             declared: dict[int, list[int]] = {}
+            counts, seeds_of = [], SEED
             for i, (_, _, quote, doc) in enumerate(quotes):
-                for seed in _seeds(quote):
+                own_seeds = _seeds(quote)
+                counts.append(len(own_seeds))
+                for seed in own_seeds:
                     by_seed.setdefault(len(seed), {}).setdefault(seed, []).append(i)
                 if doc is not None:
                     declared.setdefault(doc, []).append(i)
             for batch in batches:
                 out = []
                 for doc, body, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    body = body or ""
-                    near = set(declared.get(doc, ()))
-                    loose = View.of(raw or body, True).text
+                    hay = Hay(body or "")
+                    whole = Hay(raw) if raw else None
+                    near = dict.fromkeys(declared.get(doc, ()), seeds_of)
+                    loose = (whole or hay).view(True).text
                     for size, table in by_seed.items():
-                        for at in range(len(loose) - size + 1):
-                            near.update(table.get(loose[at : at + size], ()))
-                    for i in near:
+                        for s in {loose[at : at + size] for at in range(len(loose) - size + 1)} & table.keys():
+                            for i in table[s]:
+                                near[i] = near.get(i, 0) + 1
+                    for i, shared_seeds in near.items():
                         q, part, quote, own_doc = quotes[i]
-                        status, a, b, ratio, times = judge(quote, body, raw, fuzzy)
+                        # a document that shares less than half of the seeds can hold the quote, but nothing like it
+                        close = fuzzy and 2 * shared_seeds >= counts[i]
+                        status, a, b, ratio, times = judge(quote, hay, whole, close)
                         if own_doc is not None and own_doc != doc:
                             if status not in GOOD:
                                 continue

@@ -12,7 +12,7 @@ from glyphmill.operators import catalog, changes, fulltext, incremental, integri
 from glyphmill.operators.chunking import chunk_documents
 from glyphmill.plans import ingest
 from glyphmill.plans.search import search
-from glyphmill.runtime import read_table
+from glyphmill.runtime import read_table, stage
 from glyphmill.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,7 +115,7 @@ def snippet_projection(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("id").alias("chunk_id"), T.snippet(F.col("text"), 60).alias("snippet")).distinct()
 
 
-@_query(r"""WITH RECURSIVE base AS (SELECT doc_id, trim(text, E' \t\n\r') AS t FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x{3000}\x{FEFF}\x{A0}\x{200B}]')),
+@_query(r"""WITH RECURSIVE base AS (SELECT doc_id, trim(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x{3000}\x{FEFF}\x{A0}\x{200B}]')),
     walk AS (
       SELECT doc_id, t, length(t) AS n, 0 AS s, 0 AS k, -1 AS e0 FROM base WHERE length(t) > 350
       UNION ALL
@@ -124,14 +124,14 @@ def snippet_projection(spark: SparkSession, d: str) -> DataFrame:
           SELECT *, strpos(reverse(substr(t, a + 1, w)), chr(10)) AS r FROM (
             SELECT *, greatest(s + 1, s + 290) AS a, (s + 350) - greatest(s + 1, s + 290) AS w FROM walk WHERE e0 < n))) ),
     spans AS (
-      SELECT doc_id, k, trim(substr(t, lag(s) OVER w + 1, e0 - lag(s) OVER w), E' \t\n\r') AS piece FROM walk WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+      SELECT doc_id, k, trim(substr(t, lag(s) OVER w + 1, e0 - lag(s) OVER w), ' ' || chr(9) || chr(10) || chr(13)) AS piece FROM walk WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
     long_docs AS (SELECT doc_id, count(*) AS n_chunks, sum(length(piece)) AS chars FROM spans WHERE k > 0 AND (length(piece) >= 20 OR k = 1) GROUP BY doc_id),
     short_docs AS (SELECT doc_id, 1 AS n_chunks, length(t) AS chars FROM base WHERE length(t) <= 350 AND length(t) > 0)
     SELECT doc_id, n_chunks::BIGINT AS n_chunks, chars::BIGINT AS chars FROM long_docs UNION ALL SELECT doc_id, n_chunks, chars FROM short_docs""")
 def chunk_documents_counts(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of every document's text."""
     rows = read_table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike("[\\u3000\\uFEFF\\u00A0\\u200B]"))
-    body = F.regexp_replace("text", r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    body = F.regexp_replace(T.normalize_newlines(F.col("text")), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
     cut = chunk_documents(rows.select("doc_id", body.alias("body")))
     return cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_chars").alias("chars"))
 
@@ -162,7 +162,8 @@ def title_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def _bm25_sql(query: str) -> str:
     terms = fulltext.searchable(fulltext.query_terms(query))
-    count = lambda t: f"len(list_filter(range(1, length(text) - {len(t) - 2}), lambda i: substr(lower(text), i, {len(t)}) = '{t}'))"
+    # none of these phrases overlaps itself, so occurrences may be counted by removal
+    count = lambda t: f"((length(text) - length(replace(lower(text), '{t}', ''))) // {len(t)})"
     tf = ", ".join(f"{count(t)} AS f{i}" for i, t in enumerate(terms))
     any_term = " OR ".join(f"contains(lower(text), '{t}')" for t in terms)
     df = ", ".join(f"count(*) FILTER (contains(lower(text), '{t}')) AS d{i}" for i, t in enumerate(terms))
@@ -185,7 +186,7 @@ def fts_topk(spark: SparkSession, d: str) -> DataFrame:
 def fts_indexed(spark: SparkSession, d: str) -> DataFrame:
     """All matches by way of the postings table."""
     chunks = _chunks(spark, d)
-    hits = fulltext.bm25_indexed(chunks, fulltext.postings(chunks), fulltext.corpus_stats(chunks), QUERY)
+    hits = fulltext.bm25_indexed(chunks, stage(fulltext.postings(chunks)), fulltext.corpus_stats(chunks), QUERY)
     return hits.select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
@@ -401,8 +402,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 _NOW = "2026-09-01 00:00:00"
 
 
-@_query(f"""WITH t AS (SELECT id, pid, coalesce(try_cast(nullif(updated_at, '') AS TIMESTAMP), try_cast(nullif(started_at, '') AS TIMESTAMP)) AS at FROM jobs WHERE status = 'running'),
-    s AS (SELECT *, date_diff('second', at, TIMESTAMP '{_NOW}') / 60.0 AS m FROM t)
+@_query(f"""WITH t AS (SELECT id, pid, coalesce(try_cast(nullif(updated_at, '') AS TIMESTAMP), try_cast(nullif(started_at, '') AS TIMESTAMP)) AS heard FROM jobs WHERE status = 'running'),
+    s AS (SELECT *, date_diff('second', heard, TIMESTAMP '{_NOW}') / 60.0 AS m FROM t)
     SELECT id, CASE WHEN coalesce(pid, 0) > 0 AND pid % 2 = 1 THEN 'process gone' WHEN coalesce(pid, 0) > 0 AND (m IS NULL OR m >= 15) THEN 'silent' WHEN coalesce(pid, 0) <= 0 AND (m IS NULL OR m >= 30) THEN 'lost' END AS reason
     FROM s WHERE reason IS NOT NULL""")
 def reaped_jobs(spark: SparkSession, d: str) -> DataFrame:
@@ -455,18 +456,8 @@ def _quotes(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT DISTINCT i.item_id, d.doc_id FROM bench_items i JOIN documents d ON contains(d.text, substr(i.text, 20, 40))")
 def quote_exact_locate(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a quotation literally (Q-6, J13): one pass, quotes on the small side."""
-    found = quotes_found(spark, d)
-    return found.where("status = 'verbatim'").select(F.col("quote_id").alias("item_id"), "doc_id").distinct()
-
-
-def quotes_found(spark: SparkSession, d: str) -> DataFrame:
-    """All documents with a literal quotation, by a join of quotes with the texts (both checked by size by Spark)."""
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
-    small = read_table(spark, d, "bench_items").select(F.col("item_id").alias("quote_id"), F.substring("text", 20, 40).alias("quote"))
-    seeds = small.withColumn("seed", F.xxhash64(F.substring("quote", 1, 12)))
-    grams = docs.where(F.length("text") >= 12).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 11), lambda i: F.xxhash64(F.substring("text", i, F.lit(12)))))).alias("seed"))
-    named = grams.join(seeds, "seed").select("doc_id", "quote_id", "quote")
-    return named.join(docs, "doc_id").where(F.contains("text", F.col("quote"))).select("quote_id", "doc_id", F.lit("verbatim").alias("status"))
+    found = quotes.literal_hits(_quotes(spark, d), read_table(spark, d, "documents"))
+    return found.select(F.col("quote_id").alias("item_id"), "doc_id")
 
 
 @_query()
