@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,25 +67,26 @@ def bm25_scan(chunks: DataFrame, query: str, max_terms: int = 16, id_col: str =
     terms = searchable(query_terms(query, max_terms))
     if not terms:
         return chunks.withColumn("bm25", F.lit(0.0)).where("false")
-    text = F.lower(F.col("text"))
-    stats = chunks.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.length("text") - 2, F.lit(0))).alias("size"),
-        *[F.count_if(F.contains(text, F.lit(t))).alias(f"d{i}") for i, t in enumerate(terms)],
+    low = F.col("__low")
+    stats = chunks.select(F.lower("text").alias("__low")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.length(low) - 2, F.lit(0))).alias("size"),
+        *[F.count_if(F.contains(low, F.lit(t))).alias(f"d{i}") for i, t in enumerate(terms)],
     ).first()
     return _scored(chunks, terms, stats["n"], stats["size"] or 0, [stats[f"d{i}"] for i in range(len(terms))])
 
 
 def _scored(chunks: DataFrame, terms: list[str], n: int, size: int, df: list[int]) -> DataFrame:
-    text = F.lower(F.col("text"))
     mean = size / n if n and size else 1.0
+    # one pattern finds the candidates in one pass; the text is lower-cased once for all frequencies
+    found = chunks.where(F.lower("text").rlike("|".join(f"\\Q{t}\\E" for t in terms))).withColumn("__low", F.lower("text"))
+    low = F.col("__low")
     norm = K1 * (F.lit(1 - B) + B * F.greatest(F.length("text") - 2, F.lit(0)) / F.lit(float(mean)))
     score = F.lit(0.0)
     for t, d in zip(terms, df, strict=True):
         idf = math.log((n - d + 0.5) / (d + 0.5))
-        tf = term_frequency(text, t)
+        tf = term_frequency(low, t)
         score = score + F.lit(float(idf if idf > 0 else LEAST_IDF)) * (tf * (K1 + 1) / (tf + norm))
-    any_term = reduce(Column.__or__, [F.contains(text, F.lit(t)) for t in terms])
-    return chunks.where(any_term).withColumn("bm25", -score)
+    return found.withColumn("bm25", -score).drop("__low")
 
 
 def like_fallback(chunks: DataFrame, query: str) -> DataFrame:
@@ -127,7 +127,7 @@ def bm25_indexed(chunks: DataFrame, index: DataFrame, stats: DataFrame, query: s
     full = met.join(F.broadcast(lengths), "term").where(F.col("have") == F.col("grams"))
     named = full.select("chunk_id").distinct()
     some = chunks.join(named, chunks[id_col] == named["chunk_id"], "left_semi")
-    text = F.lower(F.col("text"))
-    df = some.agg(*[F.count_if(F.contains(text, F.lit(t))).alias(f"d{i}") for i, t in enumerate(terms)]).first()
+    low = some.select(F.lower("text").alias("__low"))
+    df = low.agg(*[F.count_if(F.contains("__low", F.lit(t))).alias(f"d{i}") for i, t in enumerate(terms)]).first()
     total = stats.first()
     return _scored(some, terms, total["n"], total["size"], [df[f"d{i}"] for i in range(len(terms))])

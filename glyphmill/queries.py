@@ -182,12 +182,12 @@ def fts_topk(spark: SparkSession, d: str) -> DataFrame:
     return best.select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
-@_query(f"WITH {_bm25_sql(QUERY)} SELECT chunk_id, round(bm25, 6) AS bm25 FROM bm25")
+@_query(f"WITH {_bm25_sql(QUERY)} SELECT chunk_id, round(bm25, 4) AS bm25 FROM bm25")
 def fts_indexed(spark: SparkSession, d: str) -> DataFrame:
     """All matches by way of the postings table."""
     chunks = _chunks(spark, d)
     hits = fulltext.bm25_indexed(chunks, stage(fulltext.postings(chunks)), fulltext.corpus_stats(chunks), QUERY)
-    return hits.select("chunk_id", F.round("bm25", 6).alias("bm25"))
+    return hits.select("chunk_id", F.round("bm25", 4).alias("bm25"))
 
 
 @_query(f"WITH {_bm25_sql(QUERY)} SELECT chunk_id, round(bm25, 6) AS bm25 FROM bm25 JOIN docs_one USING (doc_id) WHERE state = 'indexed' AND date >= '2025-06' AND date <= '2026-03' ORDER BY bm25, chunk_id LIMIT 20")
