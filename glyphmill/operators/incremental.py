@@ -87,7 +87,7 @@ class IncrementalTable:
 
     def _exists(self, name: str) -> bool:
         jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
     def prints(self) -> DataFrame:

@@ -203,7 +203,7 @@ def verify_fragments(parts: DataFrame, docs: DataFrame, fuzzy: bool = True) -> D
             declared: dict[int, list[int]] = {}
             counts, seeds_of = [], SEED
             for i, (_, _, quote, doc) in enumerate(quotes):
-                own_seeds = _seeds(quote)
+                own_seeds = _seeds(quote) | _seeds(re.sub(ASIDE, "", quote))
                 counts.append(len(own_seeds))
                 for seed in own_seeds:
                     by_seed.setdefault(len(seed), {}).setdefault(seed, []).append(i)

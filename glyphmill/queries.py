@@ -175,14 +175,14 @@ def _bm25_sql(query: str) -> str:
     bm25 AS (SELECT chunk_id, doc_id, -({parts}) AS bm25 FROM hits, stats)"""
 
 
-@_query(f"WITH {_bm25_sql(QUERY)} SELECT chunk_id, round(bm25, 6) AS bm25 FROM bm25 ORDER BY bm25, chunk_id LIMIT 20")
+@_query(f"WITH {_bm25_sql(QUERY)} SELECT chunk_id, round(bm25, 6) + 0.0 AS bm25 FROM bm25 ORDER BY bm25, chunk_id LIMIT 20")
 def fts_topk(spark: SparkSession, d: str) -> DataFrame:
     """Best chunks of a phrase query by BM25."""
     best = fulltext.bm25_scan(_chunks(spark, d), QUERY).orderBy("bm25", "chunk_id").limit(20)
     return best.select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
-@_query(f"WITH {_bm25_sql(QUERY)} SELECT chunk_id, round(bm25, 4) AS bm25 FROM bm25")
+@_query(f"WITH {_bm25_sql(QUERY)} SELECT chunk_id, round(bm25, 4) + 0.0 AS bm25 FROM bm25")
 def fts_indexed(spark: SparkSession, d: str) -> DataFrame:
     """All matches by way of the postings table."""
     chunks = _chunks(spark, d)
@@ -190,7 +190,7 @@ def fts_indexed(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("chunk_id", F.round("bm25", 4).alias("bm25"))
 
 
-@_query(f"WITH {_bm25_sql(QUERY)} SELECT chunk_id, round(bm25, 6) AS bm25 FROM bm25 JOIN docs_one USING (doc_id) WHERE state = 'indexed' AND date >= '2025-06' AND date <= '2026-03' ORDER BY bm25, chunk_id LIMIT 20")
+@_query(f"WITH {_bm25_sql(QUERY)} SELECT chunk_id, round(bm25, 6) + 0.0 AS bm25 FROM bm25 JOIN docs_one USING (doc_id) WHERE state = 'indexed' AND date >= '2025-06' AND date <= '2026-03' ORDER BY bm25, chunk_id LIMIT 20")
 def fts_filtered(spark: SparkSession, d: str) -> DataFrame:
     """The same within a span of dates, with the statistics of all chunks."""
     from glyphmill.plans.search import doc_filter
