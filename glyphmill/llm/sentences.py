@@ -128,7 +128,7 @@ def reliable_label(s: str, at: int, end: int, features: list[str]) -> int | None
         return 0  # titles and initials stand before names
     if f["k"] == "number" and f["n"] in MONTHS:
         return 0
-    if f["k"] in ("lower", "cjk") and f["l"] >= "5" and f["c"] in ("upper", "cjk"):
+    if f["k"] in ("lower", "cjk", "upper") and f["l"] >= "5" and f["c"] in ("upper", "cjk"):
         return 1
     if f["k"] in ("number", "dotted") and f["n"] in ("the", "der", "die", "das", "am", "a", "in"):
         return 1
