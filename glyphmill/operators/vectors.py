@@ -6,6 +6,7 @@ import hashlib
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,6 @@ class HashingEmbedder:
 
 def embed(chunks: DataFrame, embedder: Embedder, prefix: str = "", id_col: str = "chunk_id") -> DataFrame:
     """(chunk_id, model, dim, vec) of all chunks, in Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
     def encode(texts: pd.Series) -> pd.Series:
