@@ -17,6 +17,8 @@ from glyphmill.runtime import cut
 SAMPLE = 20_000
 #: Vectors a list should hold before spilling, lists a vector is put into, and the most lists (they are broadcast).
 LIST_SIZE, SPILL, MAX_LISTS = 512, 3, 8192
+#: Vectors of one list that are compared in one group.
+MAX_GROUP = 20_000
 #: Cosine below which the order of neighbours matters less to the quantiser.
 ANISOTROPY = 0.2
 #: Room left to the quantised score before exact reranking, and candidates reranked where no least score is given.
@@ -200,25 +202,25 @@ def _best(q: np.ndarray, x: np.ndarray, score: np.ndarray, ids: np.ndarray, k: i
     return order[place < k]
 
 
-def _within(ids: np.ndarray, x: np.ndarray, quantiser: Quantiser, k: int, least: float) -> tuple[np.ndarray, ...]:
-    """(query id, id, score) of up to k neighbours of every row of one list with a score of ``least`` or more."""
-    packed = quantiser.packed(quantiser.encode(x))
+def _against(
+    q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, quantiser: Quantiser, k: int, least: float
+) -> list[tuple[np.ndarray, ...]]:
+    """(query id, id, score) of up to k of ``x`` for every query with a score of ``least`` or more."""
     out: list[tuple] = []
-    for at in range(0, len(x), QUERY_BLOCK):
-        block = x[at : at + QUERY_BLOCK]
-        approx = quantiser.scan(packed, block)
-        cand, q = np.nonzero(approx >= least - SLACK)
-        other = ids[cand] != ids[at + q]
-        cand, q = cand[other], q[other]
-        score = np.empty(len(q), dtype=np.float32)
-        for part in range(0, len(q), 100_000):
+    for at in range(0, len(q), QUERY_BLOCK):
+        block, names = q[at : at + QUERY_BLOCK], q_ids[at : at + QUERY_BLOCK]
+        cand, who = np.nonzero(quantiser.scan(packed, block) >= least - SLACK)
+        other = ids[cand] != names[who]
+        cand, who = cand[other], who[other]
+        score = np.empty(len(who), dtype=np.float32)
+        for part in range(0, len(who), 100_000):
             s = slice(part, part + 100_000)
-            score[s] = np.einsum("ij,ij->i", block[q[s]], x[cand[s]])
+            score[s] = np.einsum("ij,ij->i", block[who[s]], x[cand[s]])
         good = score >= least - 1e-6
-        cand, q, score = cand[good], q[good], score[good]
-        best = _best(q, cand, score, ids, k)
-        out.append((ids[at + q[best]], ids[cand[best]], score[best]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        cand, who, score = cand[good], who[good], score[good]
+        best = _best(who, cand, score, ids, k)
+        out.append((names[who[best]], ids[cand[best]], score[best]))
+    return out
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.8, list_size: int = LIST_SIZE) -> DataFrame:
@@ -228,7 +230,8 @@ def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.8, list_size:
     (k-means on a sample of at most SAMPLE vectors per model and dim, which grows with
     nothing; every vector is indexed). Within a list all vectors are scanned with
     four-bit score-aware codes and the candidates within SLACK of ``least`` are
-    reranked exactly. A task sends what it has for a list as one compressed block. Two vectors are compared if they share a list: found by recall
+    reranked exactly. A list that outgrows MAX_GROUP is compared in pairs of parts, so no
+    group grows with the table. A task sends what it has for a list as one compressed block. Two vectors are compared if they share a list: found by recall
     against brute force, 0.9 and more for cosines of 0.8, 0.97 from 0.93.
 
     Of exact copies of a vector, the k + 1 smallest ids are indexed and the others get
@@ -278,10 +281,24 @@ def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.8, list_size:
 
     def search(table: pa.Table) -> pa.Table:
         model, dim, at = (table.column(c)[0].as_py() for c in ("model", "dim", "list"))
-        ids = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in table.column("ids").to_pylist()])
-        x = np.concatenate([_unpacked_vectors(b, dim) for b in table.column("block").to_pylist()])
-        ids, where = np.unique(ids, return_index=True)
-        q, n, s = _within(ids, _normal(x[where]), fitted.value[model, dim][1], k, least)
+        one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
+        sides = []
+        for part in sorted({one, two}):
+            own = table.filter(pc.equal(table.column("part"), part))
+            if not own.num_rows:
+                continue
+            ids = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in own.column("ids").to_pylist()])
+            x = np.concatenate([_unpacked_vectors(b, dim) for b in own.column("block").to_pylist()])
+            ids, where = np.unique(ids, return_index=True)
+            sides.append((ids, _normal(x[where])))
+        quantiser, found = fitted.value[model, dim][1], []
+        for i, (ids, x) in enumerate(sides):
+            packed = quantiser.packed(quantiser.encode(x))
+            for j, (q_ids, q) in enumerate(sides):
+                if (i == j) == (one == two):
+                    found += _against(q_ids, q, ids, x, packed, quantiser, k, least)
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        q, n, s = (np.concatenate(c) for c in zip(*(found or [empty]), strict=True))
         return pa.table(
             {"model": pa.array([model] * len(q), pa.string()), "dim": pa.array(np.full(len(q), dim, np.int32)), "chunk_id": q, "neighbour": n, "cosine": s.astype(np.float64)}
         )
@@ -291,7 +308,19 @@ def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.8, list_size:
         more = copies.where(F.col("r") > k + 1).select("model", "dim", "chunk_id")
         kept = rows.join(more, ["model", "dim", "chunk_id"], "left_anti")
     listed = kept.mapInArrow(assign, "model string, dim int, list int, ids binary, block binary")
-    found = listed.groupBy("model", "dim", "list").applyInArrow(
+    # a list over MAX_GROUP vectors is cut into parts, and each pair of parts is a group of its own
+    key = ["model", "dim", "list"]
+    sizes = listed.groupBy(*key).agg((F.sum(F.length("ids")) / 8).alias("n")).where(F.col("n") > MAX_GROUP)
+    sizes = cut(sizes.select(*key, F.ceil(F.col("n") / (MAX_GROUP // 2)).cast("int").alias("parts")))
+    if sizes.isEmpty():
+        split = listed.select("*", F.lit(0).alias("part"), F.lit(0).alias("one"), F.lit(0).alias("two"))
+    else:
+        parts = listed.join(sizes, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        parts = parts.withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+        pairs = parts.select(*key, "ids", "block", "part", other)
+        split = pairs.select(*key, "ids", "block", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
+    found = split.groupBy(*key, "one", "two").applyInArrow(
         search, "model string, dim int, chunk_id bigint, neighbour bigint, cosine double"
     )
     if not crowded.isEmpty():

@@ -131,7 +131,7 @@ def test_crowded_table_entries(spark, monkeypatch):
     assert {r["component"] for r in neardup.near_duplicates(df).collect()}.__len__() == 1
 
 
-def test_neighbours_against_brute_force(spark):
+def test_neighbours_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(60, 32))
     x = np.repeat(centres, 6, axis=0) + 0.15 * rng.normal(size=(360, 32))
@@ -147,6 +147,9 @@ def test_neighbours_against_brute_force(spark):
     got = {(r["chunk_id"], r["neighbour"]) for r in neighbours.similar_pairs(df, list_size=100).collect()}
     pairs = lambda p: {(min(a, b), max(a, b)) for a, b in p}
     assert len(pairs(truth) & pairs(got)) >= 0.9 * len(pairs(truth)) and len(pairs(got) - pairs(truth)) <= 0.03 * len(truth)
+    monkeypatch.setattr(neighbours, "MAX_GROUP", 40)
+    parts = neighbours.similar_pairs(df.repartition(12), list_size=300).collect()
+    assert len(pairs(truth) & pairs((r["chunk_id"], r["neighbour"]) for r in parts)) >= 0.9 * len(pairs(truth))
     near = neighbours.nearest(df, every=10).collect()
     hits = sum(r["neighbour"] in best[r["chunk_id"]] for r in near if r["model"] == "m")
     assert hits >= 0.9 * 5 * len({r["chunk_id"] for r in near if r["model"] == "m"})
