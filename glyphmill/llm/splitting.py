@@ -116,9 +116,11 @@ def pieces(text: Column, limit: int = 350, overlap: int = 80) -> Column:
             lambda t: None if t is None else [(a, t[a:b]) for a, b in cut_points(t, limit, overlap)]
         )
 
+    # marked so that the optimizer does not copy the call into each use of the pieces
+    cut_once = cut_long.asNondeterministic()
     whole = F.array(F.struct(F.lit(0).alias("start_pos"), text.alias("text")))
     long = F.when(F.length(text) > limit, text)
-    return F.when(F.length(text) > limit, cut_long(long)).when(text.isNotNull(), whole)
+    return F.when(F.length(text) > limit, cut_once(long)).when(text.isNotNull(), whole)
 
 
 def split_pieces(
