@@ -17,8 +17,8 @@ from glyphmill.runtime import stage
 
 #: Vocabulary file whose tokens are counted; a name of the folder of public tokenizers, or a path.
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
-#: Documents of one length that one task numbers.
-RANK_BUCKETS = 64
+#: Documents of one length that one task numbers, about, and the least number of buckets.
+RANK_ROWS, RANK_BUCKETS = 500_000, 64
 #: Longest run of text that is tokenized at once; a longer one is tokenized in parts cut at line ends.
 PART = 20_000
 
@@ -131,9 +131,12 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     rest = F.col("n") % capacity
     rows = rows.select("doc_id", "n", full.alias("full"), rest.alias("rest"))
     spark = sizes.sparkSession
-    items = stage(rows.withColumn(BUCKET, F.pmod(F.xxhash64("doc_id"), F.lit(RANK_BUCKETS))))
+    items = stage(rows)
     counts = items.where(F.col("rest") > 0).groupBy("rest").agg(F.count(F.lit(1)).alias("k"))
     histogram = {r["rest"]: r["k"] for r in counts.collect()}
+    most = items.agg(F.sum(F.signum("full")).alias("k")).first()["k"] or 0
+    buckets = max(RANK_BUCKETS, int(max([most, *histogram.values()]) // RANK_ROWS))
+    items = items.withColumn(BUCKET, F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     table = slots(shortest_pack_first(histogram, capacity))
     after = max((s + b - a + 1 for _, a, b, s, _ in table), default=0)
     per_bucket = items.where(F.col("rest") > 0).groupBy("rest", BUCKET).agg(F.count(F.lit(1)).alias("k"))
