@@ -110,11 +110,18 @@ def doc_state_counts(spark: SparkSession, d: str) -> DataFrame:
 @_query(r"""SELECT chunk_id, CASE WHEN length(s) > 60 THEN substr(s, 1, 60) || '…' ELSE s END AS snippet FROM (
     SELECT DISTINCT id AS chunk_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS s FROM chunks WHERE regexp_full_match(text, '[ -~\n\r\x{4E00}-\x{9FFF}，。！？]*'))""")
 def snippet_projection(spark: SparkSession, d: str) -> DataFrame:
-    """Snippets of chunks of plain characters."""
+    """Snippets of chunks of plain characters, those that SQL folds alike (T11); all are in snippets_all."""
     rows = read_table(spark, d, "chunks").where(F.col("text").rlike("^[ -~\n\r一-鿿，。！？]*$"))
     return rows.select(F.col("id").alias("chunk_id"), T.snippet(F.col("text"), 60).alias("snippet")).distinct()
 
 
+@_query()
+def snippets_all(spark: SparkSession, d: str) -> DataFrame:
+    """Snippets of all chunks with text (T11); DuckDB's white space is not Unicode's, so there is no SQL."""
+    rows = read_table(spark, d, "chunks").where(F.col("text").isNotNull())
+    return rows.select(F.col("id").alias("chunk_id"), T.snippet(F.col("text"), 60).alias("snippet")).distinct()
+
+
 @_query(r"""WITH RECURSIVE base AS (SELECT doc_id, trim(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x{3000}\x{FEFF}\x{A0}\x{200B}]')),
     walk AS (
       SELECT doc_id, t, length(t) AS n, 0 AS s, 0 AS k, -1 AS e0 FROM base WHERE length(t) > 350
@@ -129,13 +136,21 @@ def snippet_projection(spark: SparkSession, d: str) -> DataFrame:
     short_docs AS (SELECT doc_id, 1 AS n_chunks, length(t) AS chars FROM base WHERE length(t) <= 350 AND length(t) > 0)
     SELECT doc_id, n_chunks::BIGINT AS n_chunks, chars::BIGINT AS chars FROM long_docs UNION ALL SELECT doc_id, n_chunks, chars FROM short_docs""")
 def chunk_documents_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of every document's text."""
+    """Chunks of the documents without blanks that SQL does not strip (T10, S8); all are in chunk_documents_all."""
     rows = read_table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike("[\\u3000\\uFEFF\\u00A0\\u200B]"))
     body = F.regexp_replace(T.normalize_newlines(F.col("text")), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
     cut = chunk_documents(rows.select("doc_id", body.alias("body")))
     return cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_chars").alias("chars"))
 
 
+@_query()
+def chunk_documents_all(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of every document's text, whatever blanks it holds."""
+    body = T.stripped(T.normalize_newlines(F.col("text")))
+    cut = chunk_documents(read_table(spark, d, "documents").select("doc_id", body.alias("body")))
+    return cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_chars").alias("chars"))
+
+
 @_query()
 def ingest_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Whole ingest: parse, clean, classify, chunk."""
