@@ -6,6 +6,7 @@ import difflib
 import re
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.runtime import stage
+
 # Statuses by severity, limits, and the marks around quotations.
 SEVERITY = ["verbatim", "whitespace", "annotated", "loose", "modified", "other_doc", "not_in_body", "not_found", "error"]
 GOOD = ("verbatim", "whitespace", "loose", "annotated")
@@ -83,14 +86,15 @@ def locate(quote: str, hay: Hay) -> tuple[str, int, int, int] | None:
     return None
 
 
-def similarity(quote: str, hay: Hay) -> tuple[float, int, int]:
-    """(ratio, start, end) of the window around the longest common block with ``quote``."""
+def similarity(quote: str, hay: Hay, block: tuple[int, int] | None = None) -> tuple[float, int, int]:
+    """(ratio, start, end) of the window around the longest common block with ``quote``, whose places may be given."""
     needle, view = View.of(quote, False).text, hay.view(False)
-    match = difflib.SequenceMatcher(None, needle, view.text, autojunk=False)
-    block = match.find_longest_match()
-    if block.size < 3:
-        return 0.0, 0, 0
-    first = max(0, block.b - block.a - 12)
+    if block is None:
+        longest = difflib.SequenceMatcher(None, needle, view.text, autojunk=False).find_longest_match()
+        if longest.size < 3:
+            return 0.0, 0, 0
+        block = longest.a, longest.b
+    first = max(0, block[1] - block[0] - 12)
     window = view.text[first : first + len(needle) + 24]
     match = difflib.SequenceMatcher(None, window, needle, autojunk=False)
     blocks = [b for b in match.get_matching_blocks() if b.size >= 3]
@@ -178,20 +182,95 @@ def _seeds(quote: str) -> set[str]:
     return {loose[i : i + size] for i in range(0, max(1, len(loose) - size + 1), step)} if len(loose) >= MIN_CHARS else set()
 
 
+class Nearness:
+    """Bounds of the similarity of many quotes with a text, from their common trigrams and characters."""
+
+    def __init__(self, quotes: list[str]) -> None:
+        self.needles = [View.of(q, False).text for q in quotes]
+        alphabet = sorted(set("".join(self.needles)))
+        self.ids = np.zeros(sys.maxunicode + 1, dtype=np.int64)
+        self.ids[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        self.base = len(alphabet) + 1
+        self.member = np.zeros((len(quotes), self.base), dtype=bool)
+        self.sizes = np.array([len(n) for n in self.needles], dtype=np.int64)
+        self.counts = [Counter(n) for n in self.needles]
+        rows: list[tuple[int, int, int]] = []
+        for i, n in enumerate(self.needles):
+            own = self.ids[[ord(c) for c in n]]
+            self.member[i, own] = True
+            rows += [(int(k), i, a) for a, k in enumerate(self._grams(own))]
+        self.keys, self.quote, self.place = np.array(sorted(rows), dtype=np.int64).reshape(-1, 3).T.copy()
+
+    def _grams(self, own: np.ndarray) -> np.ndarray:
+        return (own[:-2] * self.base + own[1:-1]) * self.base + own[2:]
+
+    def least(self, ratio: float) -> np.ndarray:
+        """Equal characters that each quote needs for a rounded ratio: 2 m / (w + n) with w >= m."""
+        exact = ratio - 0.0005
+        return exact * self.sizes / (2 - exact) - 1e-9
+
+    def near(self, text: str, least: np.ndarray) -> list[tuple[int, int, int]]:
+        """(quote, place in it, place in the text) of the longest common blocks of those quotes that can have ``least`` equal characters.
+
+        The blocks are difflib's: runs of trigrams on one diagonal, the earliest of the
+        longest; shorter blocks than three have no similarity. The window around a block
+        has at most as many equal characters as the quote and the window share.
+        """
+        own = self.ids[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        if len(own) < 3 or not len(self.keys):
+            return []
+        grams = self._grams(own)
+        at = np.flatnonzero((own[:-2] > 0) & (own[1:-1] > 0) & (own[2:] > 0))
+        low = np.searchsorted(self.keys, grams[at], "left")
+        many = np.searchsorted(self.keys, grams[at], "right") - low
+        if not many.sum():
+            return []
+        b = np.repeat(at, many)
+        entry = np.repeat(low - np.cumsum(many) + many, many) + np.arange(len(b))
+        q, a = self.quote[entry], self.place[entry]
+        order = np.lexsort((b, b - a, q))
+        q, a, b = q[order], a[order], b[order]
+        new = np.r_[True, (q[1:] != q[:-1]) | ((b - a)[1:] != (b - a)[:-1]) | (b[1:] != b[:-1] + 1)]
+        starts = np.flatnonzero(new)
+        length = np.diff(np.r_[starts, len(q)])
+        q, a, b = q[starts], a[starts], b[starts]
+        order = np.lexsort((b, a, -length, q))
+        q, a, b = q[order], a[order], b[order]
+        one = np.r_[True, q[1:] != q[:-1]]
+        q, a, b = q[one], a[one], b[one]
+        first = np.maximum(0, b - a - 12)
+        out = []
+        # quotes of like length share a matrix of windows
+        for part in (np.flatnonzero(self.sizes[q].astype(np.int64) >> 6 == g) for g in np.unique(self.sizes[q] >> 6)):
+            places = first[part, None] + np.arange(int(self.sizes[q[part]].max()) + 24)
+            inside = places < np.minimum(len(own), first[part] + self.sizes[q[part]] + 24)[:, None]
+            shared = (self.member[q[part, None], own[np.minimum(places, len(own) - 1)]] & inside).sum(1)
+            for k in part[shared >= least[q[part]]]:
+                window, left, same = text[first[k] : first[k] + self.sizes[q[k]] + 24], self.counts[q[k]], 0
+                for c, n in Counter(window).items():
+                    same += min(n, left[c])
+                if same >= least[q[k]]:
+                    out.append((int(q[k]), int(a[k]), int(b[k])))
+        return out
+
+
 _FOUND = "quote_id long, part int, doc_id long, status string, severity int, start_pos int, end_pos int, ratio double, occurrences int"
 
 
-def verify_fragments(parts: DataFrame, docs: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """The verdict on each fragment: its best document in the order of severity, then ratio, then id.
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) if out else [[]] * 9
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
 
-    ``docs`` has doc_id, body and body_raw. A document is looked at if it holds a seed of
-    the quote (eight characters, punctuation aside) or is the declared one. One pass over
-    the documents judges all quotes of a block; the best verdict is an aggregate, so
-    nothing but verdicts is shuffled.
-    """
-    rows = parts.select("quote_id", "part", "quote", "declared")
-    n = rows.count()
-    blocks = max(1, -(-n // QUOTE_BLOCK))
+
+def _best(found: DataFrame) -> DataFrame:
+    return found.groupBy("quote_id", "part").agg(
+        F.min_by(F.struct("doc_id", "status", "severity", "start_pos", "end_pos", "ratio", "occurrences"), F.struct("severity", -F.col("ratio"), "doc_id")).alias("b")
+    )
+
+
+def _located(rows: DataFrame, blocks: int, docs: DataFrame) -> DataFrame:
+    """The documents that hold a fragment, by locate()."""
     found = None
     for k in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("quote_id", "part"), F.lit(blocks)) == k).collect()
@@ -201,12 +280,14 @@ def verify_fragments(parts: DataFrame, docs: DataFrame, fuzzy: bool = True) -> D
             quotes = shared.value
             by_seed: dict[int, dict[str, list[int]]] = {}
             declared: dict[int, list[int]] = {}
-            counts, seeds_of = [], SEED
+            anywhere = []
             for i, (_, _, quote, doc) in enumerate(quotes):
                 own_seeds = _seeds(quote) | _seeds(re.sub(ASIDE, "", quote))
-                counts.append(len(own_seeds))
                 for seed in own_seeds:
                     by_seed.setdefault(len(seed), {}).setdefault(seed, []).append(i)
+                # quotes of little but punctuation have no seed
+                if not own_seeds and len(View.of(quote, False).text) >= MIN_CHARS:
+                    anywhere.append(i)
                 if doc is not None:
                     declared.setdefault(doc, []).append(i)
             for batch in batches:
@@ -214,33 +295,90 @@ def verify_fragments(parts: DataFrame, docs: DataFrame, fuzzy: bool = True) -> D
                 for doc, body, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     hay = Hay(body or "")
                     whole = Hay(raw) if raw else None
-                    near = dict.fromkeys(declared.get(doc, ()), seeds_of)
-                    loose = (whole or hay).view(True).text
-                    for size, table in by_seed.items():
-                        for s in {loose[at : at + size] for at in range(len(loose) - size + 1)} & table.keys():
-                            for i in table[s]:
-                                near[i] = near.get(i, 0) + 1
-                    for i, shared_seeds in near.items():
+                    near = dict.fromkeys([*declared.get(doc, ()), *anywhere])
+                    # a passage of the body may run across lines that only the whole text has
+                    for loose in {h.view(True).text for h in (hay, whole) if h}:
+                        for size, table in by_seed.items():
+                            for s in {loose[at : at + size] for at in range(len(loose) - size + 1)} & table.keys():
+                                near.update(dict.fromkeys(table[s]))
+                    for i in near:
                         q, part, quote, own_doc = quotes[i]
-                        # a document that shares less than half of the seeds can hold the quote, but nothing like it
-                        close = fuzzy and 2 * shared_seeds >= counts[i]
-                        status, a, b, ratio, times = judge(quote, hay, whole, close)
+                        status, a, b, ratio, times = judge(quote, hay, whole, False)
+                        if status == "not_found" or own_doc is not None and own_doc != doc and status not in GOOD:
+                            continue
                         if own_doc is not None and own_doc != doc:
-                            if status not in GOOD:
-                                continue
                             status = "other_doc"
                         out.append((q, part, doc, status, SEVERITY.index(status), a, b, ratio, times))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 9
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
+                yield _batch(out)
 
         hits = docs.select(F.col("doc_id").cast("long"), "body", "body_raw").mapInArrow(look, _FOUND)
         found = hits if found is None else found.union(hits)
-    best = found.groupBy("quote_id", "part").agg(
-        F.min_by(F.struct("doc_id", "status", "start_pos", "end_pos", "ratio", "occurrences"), F.struct("severity", -F.col("ratio"), "doc_id")).alias("b")
-    )
+    return found
+
+
+def _similar(rows: DataFrame, blocks: int, docs: DataFrame, floor: float) -> DataFrame | None:
+    """The documents most like a fragment, from a ratio of ``floor``; a declared fragment is compared with its document only.
+
+    A document is skipped only if it cannot reach ``floor``, or the ratio that the task
+    has seen for the fragment.
+    """
+    found = None
+    for k in range(blocks):
+        own = rows.where(F.pmod(F.xxhash64("quote_id", "part"), F.lit(blocks)) == k).collect()
+        if not own:
+            continue
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own])
+
+        def look(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            quotes = shared.value
+            nearness = Nearness([r[2] for r in quotes])
+            least = nearness.least(floor)
+            seen = np.full(len(quotes), floor)
+            for batch in batches:
+                out = []
+                for doc, body, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    hay = Hay(body or "")
+                    whole = Hay(raw) if raw else None
+                    for i, a, b in nearness.near(hay.view(False).text, least):
+                        q, part, quote, own_doc = quotes[i]
+                        if own_doc is not None and own_doc != doc:
+                            continue
+                        ratio, start, end = similarity(quote, hay, (a, b))
+                        if ratio < seen[i] or whole and locate(quote, whole):
+                            continue
+                        if ratio > seen[i]:
+                            seen[i] = ratio
+                            least[i] = nearness.least(ratio)[i]
+                        status = "modified" if ratio >= MODIFIED_RATIO else "not_found"
+                        out.append((q, part, doc, status, SEVERITY.index(status), start, end, ratio, 0))
+                yield _batch(out)
+
+        hits = docs.select(F.col("doc_id").cast("long"), "body", "body_raw").mapInArrow(look, _FOUND)
+        found = hits if found is None else found.union(hits)
+    return found
+
+
+def verify_fragments(parts: DataFrame, docs: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """The verdict on each fragment: its best document in the order of severity, then ratio, then id.
+
+    ``docs`` has doc_id, body and body_raw. One pass over the documents locates the
+    quotes of a block, where a document holds a seed of the quote (eight characters,
+    punctuation aside) or is the declared one; a second one compares the quotes that
+    are located nowhere or only badly with all documents that can be as similar as
+    MODIFIED_RATIO. The best verdict is an aggregate, so nothing but verdicts is shuffled.
+    """
+    rows = parts.select("quote_id", "part", "quote", "declared")
+    n = rows.count()
+    blocks = max(1, -(-n // QUOTE_BLOCK))
+    best = _best(_located(rows, blocks, docs))
     short = F.length(F.regexp_replace("quote", r"(?U)\s", "")) < MIN_CHARS
-    full = rows.join(best, ["quote_id", "part"], "left").select("quote_id", "part", "quote", "declared", "b.*")
+    if fuzzy:
+        best = stage(best)
+        done = best.where(F.col("b.severity") < SEVERITY.index("modified"))
+        found = _similar(rows.where(~short).join(done, ["quote_id", "part"], "left_anti"), blocks, docs, MODIFIED_RATIO)
+        if found is not None:
+            best = _best(best.select("quote_id", "part", "b.*").unionByName(found))
+    full = rows.join(best, ["quote_id", "part"], "left").select("quote_id", "part", "quote", "declared", "b.*").drop("severity")
     status = F.when(short, "error").otherwise(F.coalesce("status", F.lit("not_found")))
     return full.withColumn("status", status)
 

@@ -26,3 +26,33 @@ def test_chunks_of_all_documents(spark, tmp_path):
         if cut := chunk_spans(body, 350, 80, 20):
             want[i] = (len(cut), sum(map(len, cut)))
     assert got == want
+
+
+def test_blocks_are_those_of_difflib():
+    import difflib
+    import random
+
+    from glyphmill.operators import quotes
+
+    draw = random.Random(5)
+    for _ in range(150):
+        text = "".join(draw.choice("甲乙丙丁 戊") for _ in range(draw.randint(0, 200)))
+        needles = ["".join(draw.choice("甲乙丙丁己") for _ in range(draw.randint(3, 90))) for _ in range(6)]
+        near, hay = quotes.Nearness(needles), quotes.Hay(text)
+        blocks = {i: (a, b) for i, a, b in near.near(hay.view(False).text, near.least(0.0))}
+        likely = {i for i, _, _ in near.near(hay.view(False).text, near.least(0.6))}
+        for i, needle in enumerate(needles):
+            want = difflib.SequenceMatcher(None, needle, hay.view(False).text, autojunk=False).find_longest_match()
+            assert blocks.get(i) == ((want.a, want.b) if want.size >= 3 else None)
+            assert i in likely or quotes.similarity(needle, hay)[0] < 0.6
+
+
+def test_edits_in_every_seed(spark):
+    from glyphmill.operators import quotes
+
+    text = "那年冬天河面结冰很早，渡口的船工把木船拖上岸来，又用麻绳一圈圈捆在老柳树下等开春再用"
+    edited = "".join("某" if k % 7 == 4 else c for k, c in enumerate(text))
+    docs = spark.createDataFrame([(1, "开头。" + text + "。结尾。", None), (2, "另一篇没有关系的文章。", None)], "doc_id long, body string, body_raw string")
+    rows = spark.createDataFrame([(1, edited, None), (2, "（，）。x！", None)], "quote_id long, quote string, declared long")
+    got = {r["quote_id"]: r for r in quotes.verify_quotes(rows, docs).collect()}
+    assert (got[1]["status"], got[1]["doc_id"]) == ("modified", 1)
