@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from itertools import combinations
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.runtime import stage
+
 
 class Embedder(Protocol):
     """What turns texts into unit vectors."""
@@ -94,3 +99,77 @@ def norm_check(vectors: DataFrame, sample: int = 400, tolerance: float = 1e-3) -
     """(checked, off): the first ``sample`` vectors by chunk id and how many of them are not of unit length."""
     first = vectors.where(F.col("vec").isNotNull()).orderBy("chunk_id", "model").limit(sample)
     return first.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.isnan(norm(F.col("vec"))) | (F.abs(norm(F.col("vec")) - 1) > tolerance)).alias("off"))
+
+
+#: Chunks of a block in which the neighbours of model_agreement are looked for.
+AGREEMENT_BLOCK = 8192
+
+
+def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    x = np.array(column.to_pylist(), dtype=np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _block_neighbours(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """(chunk_id, side, near): the ``k`` nearest rows of ``right`` of each row of ``left``, without itself, by either vector."""
+    ids, others = np.array(left["chunk_id"]), np.array(right["chunk_id"])
+    out: list[tuple[int, int, list[dict]]] = []
+    if len(ids) and len(others):
+        for side, name in enumerate(("x", "y")):
+            q, base = _unit_rows(left[name]), _unit_rows(right[name])
+            for at in range(0, len(ids), 1024):
+                # equal vectors are ties, whatever the order of summing
+                score = np.round(q[at : at + 1024] @ base.T, 9)
+                own = ids[at : at + 1024]
+                score[own[:, None] == others] = -np.inf
+                least = -np.sort(np.partition(-score, min(k, len(others)) - 1, axis=1)[:, :k], axis=1)[:, -1]
+                for i, row in enumerate(score):
+                    top = np.flatnonzero((row >= least[i]) & (row > -np.inf))
+                    top = top[np.lexsort((others[top], -row[top]))][:k]
+                    out.append((int(own[i]), side, [{"far": -float(row[j]), "id": int(others[j])} for j in top]))
+    kinds = pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())]))
+    return pa.table({"chunk_id": pa.array([r[0] for r in out], pa.int64()), "side": pa.array([r[1] for r in out], pa.int32()), "near": pa.array([r[2] for r in out], kinds)})
+
+
+def model_agreement(vectors: DataFrame, k: int = 5) -> DataFrame:
+    """Agreement of every two models over all chunks that both have a usable vector of.
+
+    Of each chunk the ``k`` nearest other ones are found by each model, exactly and among
+    the common chunks: top1_agreement is the share of chunks with the same nearest one,
+    top5_overlap the mean share of common neighbours. The cosines are those of the two
+    vectors of a chunk, null where the dims differ. Blocks of chunks are compared with
+    blocks, so the work grows with the square of the common chunks, memory does not. Of
+    repeated vectors of a chunk the least counts.
+    """
+    rows = well_formed(vectors).where(F.col("chunk_id").isNotNull() & (norm(F.col("vec")) < float("inf")))
+    rows = rows.groupBy(F.col("chunk_id").cast("long").alias("chunk_id"), "model", "dim").agg(F.min("vec").alias("vec"))
+    kinds = sorted(tuple(r) for r in vectors.select("model", "dim").where("model IS NOT NULL AND dim IS NOT NULL").distinct().collect())
+    results = []
+    for (model_a, dim_a), (model_b, dim_b) in combinations(kinds, 2):
+        one = lambda m, n, name: rows.where((F.col("model") == m) & (F.col("dim") == n)).select("chunk_id", F.col("vec").alias(name))
+        both = stage(one(model_a, dim_a, "x").join(one(model_b, dim_b, "y"), "chunk_id"))
+        blocks = max(1, -(-both.count() // AGREEMENT_BLOCK))
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        own = both.withColumn("own", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int"))
+        left = own.select(F.col("own").alias("a"), every.alias("b"), "chunk_id", "x", "y").groupBy("a", "b")
+        right = own.select(every.alias("a"), F.col("own").alias("b"), "chunk_id", "x", "y").groupBy("a", "b")
+        look = lambda p, q: _block_neighbours(p, q, k)
+        near = left.cogroup(right).applyInArrow(look, "chunk_id long, side int, near array<struct<far:double,id:bigint>>")
+        near = near.groupBy("chunk_id", "side").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+        ids = lambda side: F.first(F.when(F.col("side") == side, F.col("near.id")), ignorenulls=True)
+        pair = near.groupBy("chunk_id").agg(ids(0).alias("p"), ids(1).alias("q")).where(F.size("p") > 0)
+        shares = pair.agg(
+            F.avg((F.get("p", F.lit(0)) == F.get("q", F.lit(0))).cast("double")).alias("top1_agreement"),
+            F.avg(F.size(F.array_intersect("p", "q")) / F.size("p")).alias("top5_overlap"),
+        )
+        product = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
+        cosine = product / (norm(F.col("x")) * norm(F.col("y"))) if dim_a == dim_b else F.lit(None).cast("double")
+        cosines = both.select(cosine.alias("c")).agg(
+            F.count(F.lit(1)).alias("common"), F.avg("c").alias("mean_cosine"), F.min("c").alias("min_cosine"), F.percentile("c", F.lit(0.01)).alias("p1_cosine")
+        )
+        names = [F.lit(v).alias(n) for v, n in ((model_a, "model_a"), (dim_a, "dim_a"), (model_b, "model_b"), (dim_b, "dim_b"))]
+        results.append(cosines.crossJoin(shares).select(*names, "common", "top1_agreement", "top5_overlap", "mean_cosine", "min_cosine", "p1_cosine"))
+    if not results:
+        schema = "model_a string, dim_a int, model_b string, dim_b int, common long, top1_agreement double, top5_overlap double, mean_cosine double, min_cosine double, p1_cosine double"
+        return vectors.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.union, results)

@@ -499,12 +499,18 @@ def article_quotes(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"""WITH {_VECTORS}, c AS (SELECT a.chunk_id, a.v AS x, b.v AS y FROM ok a JOIN ok b ON a.chunk_id = b.chunk_id AND a.dim = 128 AND b.dim = 96)
     SELECT count(*) AS both_models FROM (SELECT DISTINCT chunk_id FROM c)""")
 def models_in_common(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks with a usable vector in both models."""
+    """Chunks with a usable vector in both models; how far the models agree is in model_agreement."""
     rows = vectors.well_formed(_vectors(spark, d))
     two = rows.where("dim IN (96, 128)").groupBy("chunk_id").agg(F.countDistinct("dim").alias("k")).where("k = 2")
     return two.agg(F.count(F.lit(1)).alias("both_models"))
 
 
+@_query()
+def model_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of neighbours and cosines of every two models over all common chunks."""
+    return vectors.model_agreement(_vectors(spark, d))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The hybrid search over the tables in ``d``."""
     return search(_docs(spark, d), _chunks(spark, d), QUERY, _vectors(spark, d), query_vector=_probe(spark, d)).rows

@@ -56,3 +56,33 @@ def test_edits_in_every_seed(spark):
     rows = spark.createDataFrame([(1, edited, None), (2, "（，）。x！", None)], "quote_id long, quote string, declared long")
     got = {r["quote_id"]: r for r in quotes.verify_quotes(rows, docs).collect()}
     assert (got[1]["status"], got[1]["doc_id"]) == ("modified", 1)
+
+
+def test_model_agreement(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from glyphmill.operators import vectors
+
+    monkeypatch.setattr(vectors, "AGREEMENT_BLOCK", 16)
+    draw = np.random.default_rng(3)
+    a, c = draw.normal(size=(40, 8)), draw.normal(size=(40, 6))
+    b = a + 0.4 * draw.normal(size=a.shape)
+    rows = [(i, m, x.shape[1], x[i].tolist()) for m, x in (("a", a), ("b", b), ("c", c)) for i in range(40) if (m, i) != ("c", 7)]
+    spark.createDataFrame(rows, "chunk_id long, model string, dim int, vec array<double>").write.parquet(f"{tmp_path}/chunk_embeddings.parquet")
+    got = {(r["model_a"], r["model_b"]): r for r in core.queries()["model_agreement"](spark, str(tmp_path)).collect()}
+
+    def near(x):
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        score = u @ u.T - 9 * np.eye(len(u))
+        return np.argsort(-score, axis=1)[:, :5]
+
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+    for pair, (x, y) in {("a", "b"): (a, b), ("a", "c"): (np.delete(a, 7, 0), np.delete(c, 7, 0))}.items():
+        p, q = near(x), near(y)
+        assert got[pair]["common"] == len(x)
+        assert abs(got[pair]["top1_agreement"] - (p[:, 0] == q[:, 0]).mean()) < 1e-9
+        assert abs(got[pair]["top5_overlap"] - np.mean([len({*s} & {*t}) / 5 for s, t in zip(p, q, strict=True)])) < 1e-9
+    cosine = (a * b).sum(1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1)
+    ab = got["a", "b"]
+    assert np.allclose([ab["mean_cosine"], ab["min_cosine"], ab["p1_cosine"]], [cosine.mean(), cosine.min(), np.percentile(cosine, 1)])
+    assert got["a", "c"]["mean_cosine"] is None
