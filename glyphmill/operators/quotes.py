@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.operators.chunking import chunk_spans
 from glyphmill.runtime import stage
 
 # Statuses by severity, limits, and the marks around quotations.
@@ -106,17 +107,23 @@ def similarity(quote: str, hay: Hay, block: tuple[int, int] | None = None) -> tu
 
 
 def differences(quote: str, actual: str, most: int = 6) -> tuple[list[str], list[str]]:
-    """(extra, missing): what the quote has beyond the source and what it lacks, on texts without white space."""
+    """(extra, missing): what the quote has beyond the source and what it lacks, on texts without white space; punctuation does not count."""
     q, s = View.of(quote, False).text, View.of(actual, False).text
     extra, missing = [], []
     for op, a, b, c, d in difflib.SequenceMatcher(None, q, s, autojunk=False).get_opcodes():
-        if op in ("replace", "delete"):
+        if op in ("replace", "delete") and View.of(q[a:b], True).text:
             extra.append(q[a:b])
-        if op in ("replace", "insert"):
+        if op in ("replace", "insert") and View.of(s[c:d], True).text:
             missing.append(s[c:d])
     return extra[:most], missing[:most]
 
 
+def in_chunk(quote: str, body: str) -> bool:
+    """Whether one chunk of the body holds the quote, white space aside."""
+    needle = View.of(quote, False).text
+    return any(needle in View.of(c, False).text for c in chunk_spans(body, 350, 80, 20))
+
+
 def judge(quote: str, body: Hay, raw: Hay | None, fuzzy: bool = True) -> tuple[str, int, int, float, int]:
     """(status, start, end, ratio, occurrences) of a quote within one document."""
     hit = locate(quote, body)
@@ -254,18 +261,18 @@ class Nearness:
         return out
 
 
-_FOUND = "quote_id long, part int, doc_id long, status string, severity int, start_pos int, end_pos int, ratio double, occurrences int"
+_FOUND = "quote_id long, part int, doc_id long, status string, severity int, start_pos int, end_pos int, ratio double, occurrences int, matched string, extra array<string>, missing array<string>, in_chunk boolean"
 
 
 def _batch(out: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*out, strict=True)) if out else [[]] * 9
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
+    columns = list(zip(*out, strict=True)) if out else [[]] * 13
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
 
 
 def _best(found: DataFrame) -> DataFrame:
     return found.groupBy("quote_id", "part").agg(
-        F.min_by(F.struct("doc_id", "status", "severity", "start_pos", "end_pos", "ratio", "occurrences"), F.struct("severity", -F.col("ratio"), "doc_id")).alias("b")
+        F.min_by(F.struct("doc_id", "status", "severity", "start_pos", "end_pos", "ratio", "occurrences", "matched", "extra", "missing", "in_chunk"), F.struct("severity", -F.col("ratio"), "doc_id")).alias("b")
     )
 
 
@@ -306,9 +313,13 @@ def _located(rows: DataFrame, blocks: int, docs: DataFrame) -> DataFrame:
                         status, a, b, ratio, times = judge(quote, hay, whole, False)
                         if status == "not_found" or own_doc is not None and own_doc != doc and status not in GOOD:
                             continue
+                        judged = status
                         if own_doc is not None and own_doc != doc:
                             status = "other_doc"
-                        out.append((q, part, doc, status, SEVERITY.index(status), a, b, ratio, times))
+                        actual = (whole if judged == "not_in_body" else hay).text[a:b]
+                        extra, missing = ([], []) if judged == "verbatim" else differences(quote, actual)
+                        inside = in_chunk(re.sub(ASIDE, "", quote) if judged == "annotated" else quote, hay.text)
+                        out.append((q, part, doc, status, SEVERITY.index(status), a, b, ratio, times, actual, extra, missing, inside))
                 yield _batch(out)
 
         hits = docs.select(F.col("doc_id").cast("long"), "body", "body_raw").mapInArrow(look, _FOUND)
@@ -349,8 +360,9 @@ def _similar(rows: DataFrame, blocks: int, docs: DataFrame, floor: float) -> Dat
                         if ratio > seen[i]:
                             seen[i] = ratio
                             least[i] = nearness.least(ratio)[i]
+                        actual = hay.text[start:end]
                         status = "modified" if ratio >= MODIFIED_RATIO else "not_found"
-                        out.append((q, part, doc, status, SEVERITY.index(status), start, end, ratio, 0))
+                        out.append((q, part, doc, status, SEVERITY.index(status), start, end, ratio, 0, actual, *differences(quote, actual), False))
                 yield _batch(out)
 
         hits = docs.select(F.col("doc_id").cast("long"), "body", "body_raw").mapInArrow(look, _FOUND)
@@ -365,7 +377,9 @@ def verify_fragments(parts: DataFrame, docs: DataFrame, fuzzy: bool = True) -> D
     quotes of a block, where a document holds a seed of the quote (eight characters,
     punctuation aside) or is the declared one; a second one compares the quotes that
     are located nowhere or only badly with all documents that can be as similar as
-    MODIFIED_RATIO. The best verdict is an aggregate, so nothing but verdicts is shuffled.
+    SUGGEST_RATIO. Each verdict has the matched text, what the quote has beyond it (extra)
+    and lacks (missing), and whether a chunk holds the quote; below MODIFIED_RATIO the
+    matched text is the best suggestion. The best verdict is an aggregate, so nothing but verdicts is shuffled.
     """
     rows = parts.select("quote_id", "part", "quote", "declared")
     n = rows.count()
@@ -375,7 +389,7 @@ def verify_fragments(parts: DataFrame, docs: DataFrame, fuzzy: bool = True) -> D
     if fuzzy:
         best = stage(best)
         done = best.where(F.col("b.severity") < SEVERITY.index("modified"))
-        found = _similar(rows.where(~short).join(done, ["quote_id", "part"], "left_anti"), blocks, docs, MODIFIED_RATIO)
+        found = _similar(rows.where(~short).join(done, ["quote_id", "part"], "left_anti"), blocks, docs, SUGGEST_RATIO)
         if found is not None:
             best = _best(best.select("quote_id", "part", "b.*").unionByName(found))
     full = rows.join(best, ["quote_id", "part"], "left").select("quote_id", "part", "quote", "declared", "b.*").drop("severity")
@@ -384,13 +398,15 @@ def verify_fragments(parts: DataFrame, docs: DataFrame, fuzzy: bool = True) -> D
 
 
 def verify_quotes(quotes: DataFrame, docs: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """(quote_id, status, ok, fragments, doc_id): the worst fragment decides; ok if all are good."""
+    """(quote_id, status, ok, fragments, doc_id, matched, extra, missing, in_chunk, suggestion, ratio): the worst fragment decides; ok if all are good."""
     judged = verify_fragments(fragments(quotes), docs, fuzzy)
     order = F.array(*[F.lit(s) for s in SEVERITY])
+    judged = judged.withColumn("suggestion", F.when(F.col("status") == "not_found", F.col("matched")))
+    judged = judged.withColumn("matched", F.when(F.col("status") != "not_found", F.col("matched")))
     judged = judged.withColumn("severity", F.array_position(order, F.col("status")) - 1)
     return judged.groupBy("quote_id").agg(
         F.max_by("status", F.struct("severity", "part")).alias("status"), F.every(F.col("status").isin(*GOOD)).alias("ok"),
-        F.count(F.lit(1)).alias("fragments"), F.max_by("doc_id", F.struct("severity", "part")).alias("doc_id"),
+        F.count(F.lit(1)).alias("fragments"), *[F.max_by(c, F.struct("severity", "part")).alias(c) for c in ("doc_id", "matched", "extra", "missing", "in_chunk", "suggestion", "ratio")],
     )
 
 

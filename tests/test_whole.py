@@ -86,3 +86,19 @@ def test_model_agreement(spark, tmp_path, monkeypatch):
     ab = got["a", "b"]
     assert np.allclose([ab["mean_cosine"], ab["min_cosine"], ab["p1_cosine"]], [cosine.mean(), cosine.min(), np.percentile(cosine, 1)])
     assert got["a", "c"]["mean_cosine"] is None
+
+
+def test_details_of_verdicts(spark):
+    from glyphmill.operators import quotes
+
+    body = "第一句。他去了那个地方，买了三斤苹果和两只鸡。" + "".join(f"第{k}天回家睡觉，" for k in range(100, 160))
+    docs = spark.createDataFrame([(1, body, None)], "doc_id long, body string, body_raw string")
+    cases = [(1, "他去了那个地方，买了五斤苹果和两只鸡"), (2, "他去了那个地方买了三斤苹果"), (3, "买了三斤苹果然而星辰大海无边无际"), (4, body[200:460])]
+    rows = spark.createDataFrame([(i, q, None) for i, q in cases], "quote_id long, quote string, declared long")
+    got = {r["quote_id"]: r for r in quotes.verify_quotes(rows, docs).collect()}
+    assert (got[1]["status"], got[1]["extra"], got[1]["missing"]) == ("modified", ["五"], ["三"])
+    assert got[1]["matched"] == "他去了那个地方，买了三斤苹果和两只鸡"
+    assert (got[2]["status"], got[2]["matched"], got[2]["extra"], got[2]["in_chunk"]) == ("loose", "他去了那个地方，买了三斤苹果", [], False)
+    assert (got[3]["status"], got[3]["matched"]) == ("not_found", None)
+    assert got[3]["suggestion"].startswith("买了三斤苹果") and 0.3 <= got[3]["ratio"] < 0.6
+    assert got[4]["status"] == "verbatim" and not got[4]["in_chunk"]
