@@ -7,16 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Buckets that a table is compared in.
-BUCKETS = 4096
+from glyphmill.runtime import scratch, stage
 
+#: Rows that a bucket should hold, and the least and the largest number of buckets.
+BUCKET_ROWS, FEWEST, MOST = 8192, 16, 16_384
+#: Columns of a stored table: whether a line is a derived row or the mark of its bucket, and the mark's fingerprint.
+LIVE, ROWS, HASH = "__live", "__rows", "__hash"
 
-def bucket_of(keys: list[str], buckets: int = BUCKETS) -> Column:
+
+def buckets_for(rows: int) -> int:
+    """Buckets that a table of so many rows is compared in."""
+    return max(FEWEST, min(MOST, rows // BUCKET_ROWS))
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
     """Bucket of a key by hash; null keys have one too."""
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def fingerprints(df: DataFrame, keys: list[str], values: list[str], buckets: int = BUCKETS) -> DataFrame:
+def fingerprints(df: DataFrame, keys: list[str], values: list[str], buckets: int) -> DataFrame:
     """(bucket, n, h): count and sum of row hashes of each bucket.
 
     Both are additive, so partial sums are made before the shuffle and the order of
@@ -48,76 +57,98 @@ def latest(df: DataFrame, keys: list[str], order: list[Column], values: list[str
     return df.groupBy(*keys).agg(top).select(*keys, *[F.col(f"__m.{v}").alias(v) for v in values])
 
 
-def files_to_process(docs: DataFrame, file_state: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(source_id, rel_path) of the files that a new run has to process, each once.
-
-    On disk a file is its row of ``file_state`` with the largest seen_at; finished it is
-    by its row of ``docs`` with the largest indexed_at that is neither null nor ''. A
-    file is due if it has no finished row or another sha1 there (null differs from a
-    value, two nulls are equal); mtime and size alone are no change, files only in docs
-    are not due. Buckets of both sides with equal fingerprints hold equal files and are
-    passed over; only the others are joined. The answer depends on what has finished,
-    so a run that broke off and starts again gets exactly what is left.
-    """
-    keys = ["source_id", "rel_path"]
-    seen = latest(file_state.select(*keys, "sha1", "seen_at"), keys, [F.col("seen_at")], ["sha1"])
-    ended = docs.select(*keys, "sha1", F.translate("indexed_at", " ", "T").alias("at")).where(F.length(F.trim("indexed_at")) > 0)
-    done = latest(ended, keys, [F.col("at")], ["sha1"])
-    due = changed_buckets(fingerprints(seen, keys, ["sha1"], buckets), fingerprints(done, keys, ["sha1"], buckets))
-    due = due.where("n > 0").select("bucket")
-    left = seen.withColumn("bucket", bucket_of(keys, buckets)).join(due, "bucket", "left_semi").alias("s")
-    right = done.alias("d")
-    same = F.col("s.source_id").eqNullSafe(F.col("d.source_id")) & F.col("s.rel_path").eqNullSafe(F.col("d.rel_path"))
-    return left.join(right, same & F.col("s.sha1").eqNullSafe(F.col("d.sha1")), "left_anti").select(*keys)
-
-
 class IncrementalTable:
-    """A derived table of which each run recomputes only the changed buckets.
-
-    ``path`` holds the derived rows (``data``, partitioned by bucket) and the
-    fingerprints of the input they were made from (``prints``). A run writes the
-    changed buckets with dynamic partition overwrite, which replaces each bucket as a
-    whole, and then their fingerprints. If it breaks off in between, the next run finds
-    the old fingerprints and makes these buckets again: nothing is skipped, and nothing
-    is there twice.
+    """A derived table of which each run recomputes only the buckets whose input changed.
+
+    ``path`` holds the derived rows, partitioned by bucket, and in each partition one line
+    more, the bucket's mark: the fingerprint of the input that it was made from. A run
+    writes the changed buckets, rows and marks together, with dynamic partition overwrite,
+    which replaces each bucket as a whole; a bucket without derived rows keeps a mark
+    alone, so that no old row stays. Where a run breaks off, a bucket has its old rows and
+    mark or its new ones, and the next run makes those again whose mark is old: nothing is
+    skipped, and nothing is there twice. Rows that come while a run goes on are not in the
+    fingerprints it began with, so the next run sees their buckets as changed.
+
+    Keys and values may be null; a repeated row changes its bucket. The number of buckets
+    must stay the same for one ``path``.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], values: list[str], buckets: int = 256) -> None:
         self.spark, self.path, self.keys, self.values, self.buckets = spark, path, keys, values, buckets
 
-    def _exists(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+    def _at(self, name: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def exists(self) -> bool:
+        """Whether a first run has finished."""
+        files, where = self._at("_begun")
+        return files.exists(where)
 
     def prints(self) -> DataFrame:
-        """Fingerprints as of the last finished run."""
-        schema = "n long, h string, bucket int"
-        if not self._exists("prints"):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/prints")
+        """(bucket, n, h): the input that each bucket was made from."""
+        if not self.exists():
+            return self.spark.createDataFrame([], "bucket int, n long, h string")
+        return self.spark.read.parquet(self.path).where(~F.col(LIVE)).select("bucket", F.col(ROWS).alias("n"), F.col(HASH).alias("h"))
 
     def read(self) -> DataFrame:
-        """The derived rows of all buckets that still have input."""
-        alive = self.prints().where("n > 0").select("bucket")
-        return self.spark.read.parquet(f"{self.path}/data").join(alive, "bucket", "left_semi")
+        """The derived rows, with their bucket; FileNotFoundError before the first run with any row."""
+        if not self.exists():
+            raise FileNotFoundError(self.path)
+        return self.spark.read.parquet(self.path).where(LIVE).drop(LIVE, ROWS, HASH)
 
     def run(self, rows: DataFrame, derive: Callable[[DataFrame], DataFrame]) -> int:
         """Bring the table up to date with ``rows``; returns the number of buckets made again.
 
         ``derive`` gets the rows of the changed buckets with their column ``bucket`` and
-        must keep it. Only the list of changed buckets, bounded by their number, comes
-        to the driver.
+        must keep it. The list of changed buckets, which is broadcast, is bounded by their
+        number; a crowded bucket is written by several tasks.
         """
-        now = fingerprints(rows, self.keys, self.values, self.buckets)
-        changed = {r["bucket"]: r["n"] for r in changed_buckets(now, self.prints()).collect()}
-        if not changed:
+        now = stage(fingerprints(rows, self.keys, self.values, self.buckets))
+        changed = stage(changed_buckets(now, self.prints()).select("bucket"))
+        count = changed.count()
+        if not count:
             return 0
-        some = rows.withColumn("bucket", bucket_of(self.keys, self.buckets)).where(F.col("bucket").isin(sorted(changed)))
-        writer = derive(some).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket")
-        writer.parquet(f"{self.path}/data")
-        fresh = now.where(F.col("bucket").isin(sorted(changed)))
-        gone = self.spark.createDataFrame([(0, "", b) for b, n in sorted(changed.items()) if n == 0], "n long, h string, bucket int")
-        marks = fresh.select("n", "h", "bucket").unionByName(gone)
-        marks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/prints")
-        return len(changed)
+        some = rows.withColumn("bucket", bucket_of(self.keys, self.buckets)).join(F.broadcast(changed), "bucket", "left_semi")
+        marks = changed.join(now, "bucket", "left").select(
+            "bucket", F.lit(False).alias(LIVE), F.coalesce("n", F.lit(0)).alias(ROWS), F.coalesce("h", F.lit("")).alias(HASH)
+        )
+        first = not self.exists()
+        if first:
+            files, where = self._at("")
+            files.delete(where, True)  # what a first run that broke off has left
+        lines = derive(some).withColumn(LIVE, F.lit(True)).unionByName(marks, allowMissingColumns=True).hint("rebalance", "bucket")
+        lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        if first:
+            files, where = self._at("_begun")
+            files.create(where, True).close()
+        return count
+
+
+def files_to_process(docs: DataFrame, file_state: DataFrame, path: str | None = None, buckets: int | None = None) -> DataFrame:
+    """(source_id, rel_path) of the files that a new run has to process, each once.
+
+    On disk a file is its row of ``file_state`` with the largest seen_at; finished it is
+    by its row of ``docs`` with the largest indexed_at that is neither null nor ''. A
+    file is due if it has no finished row or another sha1 there (null differs from a
+    value, two nulls are equal); mtime and size alone are no change, files only in docs
+    are not due. The due files are an :class:`IncrementalTable` at ``path`` (a scratch
+    table where it is not given): it is brought up to date with what has finished, of
+    which nothing is due, and then with what lies on disk, which recomputes and replaces
+    the buckets of the two that differ. The answer depends on what has finished, so a run
+    that broke off and starts again gets exactly what is left. Empty tables are allowed.
+    """
+    keys = ["source_id", "rel_path"]
+    seen = stage(latest(file_state.select(*keys, "sha1", "seen_at"), keys, [F.col("seen_at")], ["sha1"]))
+    ended = docs.select(*keys, "sha1", F.translate("indexed_at", " ", "T").alias("at")).where(F.length(F.trim("indexed_at")) > 0)
+    done = stage(latest(ended, keys, [F.col("at")], ["sha1"]))
+    spark = docs.sparkSession
+    table = IncrementalTable(spark, path or scratch(spark, "due"), keys, ["sha1"], buckets or buckets_for(seen.count() + done.count()))
+
+    def due(rows: DataFrame) -> DataFrame:
+        same = [F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}")) for c in [*keys, "sha1"]]
+        return rows.alias("s").join(done.alias("d"), same, "left_anti").select("bucket", *keys)
+
+    table.run(done, due)
+    table.run(seen, due)
+    return table.read().select(*keys) if table.exists() else seen.select(*keys).where("false")

@@ -12,7 +12,7 @@ from glyphmill.operators import catalog, changes, fulltext, incremental, integri
 from glyphmill.operators.chunking import chunk_documents
 from glyphmill.plans import ingest
 from glyphmill.plans.search import search
-from glyphmill.runtime import read_table, stage
+from glyphmill.runtime import read_table, scratch, stage
 from glyphmill.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -414,6 +414,20 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.files_to_process(read_table(spark, d, "docs"), read_table(spark, d, "file_state"))
 
 
+@_query(f"WITH {_SEEN} SELECT source_id, rel_path, sha1, size, mtime FROM seen")
+def p7_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The last sighting of every file as a table that two runs keep: what was seen up to the middle of the time, then all (problem 7)."""
+    keys, values = ["source_id", "rel_path"], ["sha1", "size", "mtime"]
+    rows = read_table(spark, d, "file_state")
+    span = rows.agg(F.min("seen_at").alias("a"), F.max("seen_at").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    table = incremental.IncrementalTable(spark, scratch(spark, "latest"), keys, [*values, "seen_at"], incremental.buckets_for(span["n"]))
+    last = lambda some: incremental.latest(some, ["bucket", *keys], [F.col("seen_at")], values)
+    if span["a"] is not None:
+        table.run(rows.where(F.col("seen_at") <= span["a"] + (span["b"] - span["a"]) / 2), last)
+    table.run(rows, last)
+    return table.read().select(*keys, *values) if table.exists() else rows.select(*keys, *values).where("false")
+
+
 _NOW = "2026-09-01 00:00:00"
 
 

@@ -76,6 +76,38 @@ def test_incremental_table_survives_a_break(spark, tmp_path):
     assert table.run(changed.where("false"), derive) == 8 and table.read().count() == 0
 
 
+def test_emptied_buckets_keep_no_rows(spark, tmp_path):
+    table = incremental.IncrementalTable(spark, str(tmp_path / "t"), ["k"], ["v"], buckets=4)
+    rows = spark.createDataFrame([(None, "live"), ("b", "live"), ("c", None), ("b", "live")], "k string, v string")
+    live = lambda df: df.where("v = 'live'").select("bucket", "k")
+    table.run(rows, live)
+    assert sorted(r["k"] or "" for r in table.read().collect()) == ["", "b", "b"]
+    assert table.run(rows.withColumn("v", F.lit("dead")), live) >= 2 and table.read().count() == 0
+    assert table.run(rows.withColumn("v", F.lit("dead")), live) == 0
+
+
+def test_rows_that_come_during_a_run_are_not_lost(spark, tmp_path):
+    table = incremental.IncrementalTable(spark, str(tmp_path / "t"), ["k"], ["v"], buckets=4)
+    where = str(tmp_path / "rows")
+    spark.createDataFrame([(1, 1)], "k long, v long").write.parquet(where)
+
+    def late(df):
+        spark.createDataFrame([(2, 2)], "k long, v long").write.mode("append").parquet(where)
+        return df.select("bucket", "k")
+
+    table.run(spark.read.parquet(where), late)
+    assert table.run(spark.read.parquet(where), lambda df: df.select("bucket", "k")) >= 1
+    assert sorted(r["k"] for r in table.read().collect()) == [1, 2]
+
+
+def test_first_run_that_broke_off_leaves_nothing(spark, tmp_path):
+    where = tmp_path / "t"
+    spark.createDataFrame([("old", True, None, None, 3)], "k string, __live boolean, __rows long, __hash string, bucket int").write.partitionBy("bucket").parquet(str(where))
+    table = incremental.IncrementalTable(spark, str(where), ["k"], ["k"], buckets=4)
+    table.run(spark.createDataFrame([("new",)], "k string"), lambda df: df.select("bucket", "k"))
+    assert [r["k"] for r in table.read().collect()] == ["new"]
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     store.upsert("docs", spark.createDataFrame([(1, "a", "h1"), (2, "b", "h2")], "doc_id long, t string, head string"), ["doc_id"])
