@@ -19,8 +19,6 @@ from glyphmill.runtime import stage
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: Documents of one length that one task numbers, about, and the least number of buckets.
 RANK_ROWS, RANK_BUCKETS = 500_000, 64
-#: Longest run of text that is tokenized at once; a longer one is tokenized in parts cut at line ends.
-PART = 20_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,17 +38,7 @@ def _encoding(path: str, pattern: str):
 def token_counts(texts: list[str | None], name: str = TOKENIZER) -> list[int]:
     """Tokens of each text; 0 for null and ''."""
     encoding = _encoding(tokenizer_path(name), importlib.import_module("public_tokenizers").PATTERN)
-    out = []
-    for t in texts:
-        n, at = 0, 0
-        while t and at < len(t):
-            end = len(t)
-            if end - at > PART:
-                end = t.rfind("\n", at + 1, at + PART) + 1 or at + PART
-            n += len(encoding.encode_ordinary(t[at:end]))
-            at = end
-        out.append(n)
-    return out
+    return [len(encoding.encode_ordinary(t)) if t else 0 for t in texts]
 
 
 def with_tokens(documents: DataFrame, name: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,18 +132,22 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     order = Window.partitionBy("rest", BUCKET).orderBy("doc_id")
     ranked = items.where(F.col("rest") > 0).withColumn("r", F.row_number().over(order) - 1)
     ranked = ranked.join(offsets, ["rest", BUCKET]).withColumn("rank", F.col("r") + F.col("__offset"))
-    # a length's ranges as arrays, searched for the last one that begins at or before the rank
-    by_length: dict[int, list] = {}
-    for length, a, b, s, place in table:
-        by_length.setdefault(length, []).append((a, b, s, place))
-    schema = "rest long, ranges array<struct<a:long,b:long,s:long,place:int>>"
-    lookup = spark.createDataFrame([(k, v) for k, v in by_length.items()], schema)
-    found = F.element_at(F.filter("ranges", lambda x: (x["a"] <= F.col("rank")) & (F.col("rank") <= x["b"])), 1)
-    tails = ranked.join(lookup, "rest").withColumn("x", found)
-    tails = tails.select(
-        "doc_id", F.col("full").cast("int").alias("part"), (F.col("x.s") + F.col("rank") - F.col("x.a")).alias("sequence"),
-        F.col("x.place").alias("place"), F.col("rest").alias("tokens"),
-    )
+    # the ranges of all lengths, in the order of length and first rank; as many as the patterns have places
+    ranges = np.array(sorted(table), dtype=np.int64).reshape(-1, 5)
+    shared = spark.sparkContext.broadcast((ranges[:, 0] << 40 | ranges[:, 1], ranges))
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ranges = shared.value
+        for batch in batches:
+            rest, rank = np.asarray(batch.column("rest")), np.asarray(batch.column("rank"))
+            own = ranges[np.searchsorted(keys, rest << 40 | rank, "right") - 1]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("part"), pa.array(own[:, 3] + rank - own[:, 1]), pa.array(own[:, 4].astype(np.int32)), batch.column("rest")],
+                ["doc_id", "part", "sequence", "place", "tokens"],
+            )
+
+    tails = ranked.select("doc_id", F.col("full").cast("int").alias("part"), "rest", F.col("rank").cast("long").alias("rank"))
+    tails = tails.mapInArrow(place, "doc_id bigint, part int, sequence bigint, place int, tokens bigint")
     big = items.where(F.col("full") > 0)
     sums = big.groupBy(BUCKET).agg(F.sum("full").alias("k")).withColumn("__one", F.lit(0))
     base = bucket_offsets(sums, ["__one"], "k").select(BUCKET, "__offset")
