@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,7 +27,8 @@ GAP_TIMES, GAP_MORE = 1.5, 150
 STOCK_SHARE, STOCK_ITEMS = 0.02, 3
 _END = np.uint32(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_FIRST_SENTENCE = re.compile(r"[^。．.!！?？\n]{4,80}[。．.!！?？:：\n]")
+_FIRST_SENTENCE = r"[^。．.!！?？\n]{4,80}[。．.!！?？:：\n]"
+_BLANKS = " \t\r\n\x0b\x0c\u3000\u00a0\ufeff"
 
 
 @lru_cache(1)
@@ -79,50 +79,59 @@ def rolling(seq: np.ndarray, size: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def without_stock(texts: list[str]) -> list[str]:
-    """Texts without a first sentence that many of them share (an instruction)."""
-    firsts = [m[0] if (m := _FIRST_SENTENCE.match(t.lstrip())) else "" for t in texts]
-    often = Counter(f for f in firsts if f)
-    least = max(STOCK_ITEMS, STOCK_SHARE * len(texts))
-    stock = {f for f, n in often.items() if n >= least and any(t.lstrip() != f and f == g for t, g in zip(texts, firsts, strict=True))}
-    return [t.lstrip()[len(f) :] if f in stock else t for t, f in zip(texts, firsts, strict=True)]
+def stock_sentences(items: DataFrame) -> set[str]:
+    """First sentences that many of all ``items`` (text) begin with and that are not the whole of each: instructions.
+
+    At most 1 / STOCK_SHARE sentences come to the driver.
+    """
+    text = F.regexp_replace("text", r"^[\s\u3000\u00a0\ufeff]+", "")
+    firsts = items.select(text.alias("text"), F.regexp_extract(text, f"^({_FIRST_SENTENCE})", 1).alias("first"))
+    counted = firsts.groupBy("first").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text") > F.length("first")).alias("goes_on"))
+    least = max(STOCK_ITEMS, STOCK_SHARE * items.count())
+    return {r["first"] for r in counted.where((F.col("first") != "") & (F.col("n") >= least) & F.col("goes_on")).collect()}
+
+
+def without_stock(text: str, stock: set[str]) -> str:
+    """``text`` without the instruction it begins with."""
+    first = re.match(_FIRST_SENTENCE, bare := text.lstrip(_BLANKS))
+    return bare[first.end() :] if first and first[0] in stock else text
 
 
 class Items:
     """Seeds of one block of evaluation items."""
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
+    def __init__(self, ids: list[int], texts: list[str], stock: set[str]) -> None:
         self.ids = ids
-        seq, starts = tokens(without_stock(texts))
+        seq, starts = tokens([without_stock(t, stock) for t in texts])
         self.parts = [seq[a : b - 1] for a, b in zip(starts[:-1], starts[1:], strict=True)]
         self.wide = [bool((p >= 0x2E80).mean() > 0.3) if len(p) else True for p in self.parts]
+        groups: dict[tuple[bool, int], list[int]] = {}
+        for i, p in enumerate(self.parts):
+            size, least = (SEED_WIDE, TILE_WIDE) if self.wide[i] else (SEED_LETTERS, TILE_LETTERS)
+            # a shorter item is its own seed; below a tile's length it is everyday wording
+            if len(p) >= least:
+                groups.setdefault((self.wide[i], min(size, len(p))), []).append(i)
         self.tables = {}
-        for wide, size in ((True, SEED_WIDE), (False, SEED_LETTERS)):
-            keys, who, at = [], [], []
-            for i, p in enumerate(self.parts):
-                if self.wide[i] == wide and len(p):
-                    h = rolling(p, min(size, len(p))) if len(p) >= size else np.zeros(0, np.uint64)
-                    keys.append(h)
-                    who.append(np.full(len(h), i))
-                    at.append(np.arange(len(h)))
-            if keys and sum(map(len, keys)):
-                k, w, a = np.concatenate(keys), np.concatenate(who), np.concatenate(at)
-                order = np.argsort(k, kind="stable")
-                k, w, a = k[order], w[order], a[order]
-                gate = np.zeros(1 << 22, dtype=bool)
-                gate[(k & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-                self.tables[wide] = (size, k, w, a, gate)
-
-    def seeds(self, seq: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
-        """(wide, places in seq, items, places in item) of all shared seeds."""
-        for wide, (size, k, w, a, gate) in self.tables.items():
+        for (wide, size), own in groups.items():
+            hashes = [rolling(self.parts[i], size) for i in own]
+            k, w = np.concatenate(hashes), np.repeat(own, [len(h) for h in hashes])
+            a = np.concatenate([np.arange(len(h)) for h in hashes])
+            order = np.argsort(k, kind="stable")
+            k, w, a = k[order], w[order], a[order]
+            gate = np.zeros(1 << 22, dtype=bool)
+            gate[(k & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+            self.tables[wide, size] = (k, w, a, gate)
+
+    def seeds(self, seq: np.ndarray) -> Iterator[tuple[bool, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(wide, size, places in seq, items, places in item) of all shared seeds."""
+        for (wide, size), (k, w, a, gate) in self.tables.items():
             h = rolling(seq, size)
             some = np.flatnonzero(gate[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
             low = np.searchsorted(k, h[some], "left")
             n = np.searchsorted(k, h[some], "right") - low
             some, low, n = some[n > 0], low[n > 0], n[n > 0]
             idx = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            yield wide, np.repeat(some, n), w[idx], a[idx]
+            yield wide, size, np.repeat(some, n), w[idx], a[idx]
 
 
 def tiles(seeds: list[tuple[int, int]], size: int, least: int) -> list[tuple[int, int, int]]:
@@ -183,10 +192,9 @@ def _search(items: Items, share: float):
             out: dict[str, list] = {"doc_id": [], "item_id": [], "share": [], "tiles": []}
             for first, last in slices(texts):
                 seq, starts = tokens(texts[first:last])
-                for wide, place, item, at in items.seeds(seq):
+                for wide, size, place, item, at in items.seeds(seq):
                     if not len(place):
                         continue
-                    size = SEED_WIDE if wide else SEED_LETTERS
                     doc = np.searchsorted(starts, place, "right") - 1
                     pair = doc * len(items.ids) + item
                     # seeds of all texts that can reach the share at all: each adds at most its own length
@@ -220,19 +228,22 @@ def leaked_items(documents: DataFrame, items: DataFrame, share: float = 1 / 3) -
     punctuation and spacing do not count. Seeds shared by item and text (Karp-Rabin) are
     joined by hash, matches are marked longest first without overlap, and the heaviest
     chain of tiles in order and close together is measured against the item's length.
-    An instruction that many items begin with is not counted. Whole texts are compared.
+    An instruction that many items begin with is not counted; of an item shorter than a
+    seed the whole is the seed, and one shorter than the shortest tile is everyday wording
+    and never found. Whole texts are compared.
 
     Items come to the driver in blocks of ITEM_BLOCK, each broadcast for one pass over
     the documents. Null texts of either side match nothing, equal ids count once.
     """
     rows = items.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull())
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    stock = stock_sentences(rows)
     blocks = max(1, -(-rows.count() // ITEM_BLOCK))
     parts = None
     for b in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else rows
         table = own.distinct().orderBy("item_id", "text").collect()
-        block = Items([r["item_id"] for r in table], [r["text"] for r in table])
+        block = Items([r["item_id"] for r in table], [r["text"] for r in table], stock)
         shared = documents.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
