@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import json
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -23,7 +24,7 @@ SOURCE_DEFAULTS: dict[str, Any] = {"include": ["**/*.md"], "exclude": ["**/.git/
 
 def merged(base: dict, over: dict) -> dict:
     """``base`` with the values of ``over``; dictionaries are merged key by key, others replaced."""
-    out = dict(base)
+    out = copy.deepcopy(base)
     for key, value in over.items():
         both = isinstance(value, dict) and isinstance(out.get(key), dict)
         out[key] = merged(out[key], value) if both else value
@@ -53,22 +54,23 @@ class Settings:
         return self.values[section]
 
 
+# Words that mean yes and no.
+YES, NO = ("true", "1", "yes", "on", "y"), ("false", "0", "no", "off", "n", "")
+
+
 def as_bool(value: Any, default: bool = False) -> bool:
-    """A boolean from true/false, 0/1 or the usual words; else ValueError."""
-    if value is None:
-        return default
-    words = {"true": True, "1": True, "yes": True, "on": True, "false": False, "0": False, "no": False, "off": False}
-    word = str(value).strip().lower()
-    if word not in words:
-        raise ValueError(f"not a boolean: {value!r}")
-    return words[word]
+    """A boolean from a boolean, a number (all but 0 are true) or the usual words; what is none of these gives the default."""
+    if isinstance(value, (bool, int, float)):
+        return value != 0
+    word = value.strip().lower() if isinstance(value, str) else None
+    return True if word in YES else False if word in NO else default
 
 
 def as_int(value: Any, default: int, low: int, high: int) -> int:
     """An integer within [low, high]; null and what is no number give the default."""
     try:
         number = int(value) if value is not None and not isinstance(value, bool) else default
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, OverflowError):
         number = default
     return max(low, min(high, number))
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 import math
 import re
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,3 +135,99 @@ def bm25_indexed(chunks: DataFrame, index: DataFrame, stats: DataFrame, query: s
     df = low.agg(*[F.count_if(F.contains("__low", F.lit(t))).alias(f"d{i}") for i, t in enumerate(terms)]).first()
     total = stats.first()
     return _scored(some, terms, total["n"], total["size"], [df[f"d{i}"] for i in range(len(terms))])
+
+
+#: A trigram as one number: three code points of 21 bits each.
+_BITS = 21
+
+
+def gram_code(gram: str) -> int:
+    """The number of a trigram."""
+    a, b, c = map(ord, gram)
+    return a << 2 * _BITS | b << _BITS | c
+
+
+def placed_postings(chunks: DataFrame) -> DataFrame:
+    """(gram, chunk_id, doc_id, n, places): the full-text index of ``chunks`` (chunk_id, doc_id, text), sorted by trigram.
+
+    ``n`` is the chunk's length in trigrams, ``places`` where the trigram stands in the
+    lower-case text, so phrases of any length are found and scored without the text. Rows
+    are made chunk by chunk in Arrow batches; only they are shuffled, by ranges of trigram
+    and chunk, so that a frequent trigram is written by several tasks. Null texts and
+    texts shorter than a trigram have no row.
+    """
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                texts = batch.column("low").to_pylist()
+                sizes = np.array([len(t) for t in texts], dtype=np.int64)
+                points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+                first = np.cumsum(sizes) - sizes
+                owner = np.repeat(np.arange(len(texts)), sizes - 2)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes - 2) - (sizes - 2), sizes - 2)
+                start = first[owner] + place
+                gram = points[start] << 2 * _BITS | points[start + 1] << _BITS | points[start + 2]
+                order = np.lexsort((place, gram, owner))
+                gram, owner, place = gram[order], owner[order], place[order]
+                edge = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])])
+                own = pa.array(owner[edge])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(gram[edge]), batch.column("chunk_id").take(own), batch.column("doc_id").take(own), pa.array((sizes[owner[edge]] - 2).astype(np.int32)),
+                        pa.ListArray.from_arrays(np.r_[edge, len(gram)].astype(np.int32), pa.array(place.astype(np.int32))),
+                    ],
+                    ["gram", "chunk_id", "doc_id", "n", "places"],
+                )
+
+    some = chunks.select("chunk_id", "doc_id", F.lower("text").alias("low")).where(F.length("low") >= 3)
+    found = some.mapInArrow(rows, "gram long, chunk_id long, doc_id long, n int, places array<int>")
+    return found.repartitionByRange("gram", "chunk_id").sortWithinPartitions("gram", "chunk_id")
+
+
+def indexed_rows(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, n, h): what the index holds of each chunk: its length in trigrams and a hash of its text."""
+    return chunks.select("chunk_id", F.greatest(F.length("text") - 2, F.lit(0)).cast("long").alias("n"), F.xxhash64("text").alias("h"))
+
+
+class TextIndex:
+    """A stored full-text index: postings, and the number and total length of all chunks."""
+
+    def __init__(self, postings: DataFrame, rows: int, size: int) -> None:
+        self.postings, self.rows, self.size = postings, rows, size
+
+    @classmethod
+    def of(cls, postings: DataFrame, indexed: DataFrame) -> TextIndex:
+        """The index of stored ``postings`` and ``indexed`` rows, whose totals are read once."""
+        total = indexed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("size")).first()
+        return cls(postings, total["n"], total["size"])
+
+    def bm25(self, query: str, max_terms: int = 16) -> DataFrame:
+        """(chunk_id, doc_id, bm25) of all chunks with a phrase of ``query``, scored as :func:`bm25_scan` does, without the texts.
+
+        The query's trigrams, a few dozen, are the join's small side and a filter that
+        reaches the sorted files. Only the counts per phrase come to the driver.
+        """
+        spark = self.postings.sparkSession
+        terms = searchable(query_terms(query, max_terms))
+        if not terms:
+            return spark.createDataFrame([], "chunk_id long, doc_id long, bm25 double")
+        need = [(gram_code(t[k : k + 3]), i, k) for i, t in enumerate(terms) for k in range(len(t) - 2)]
+        wanted = spark.createDataFrame(need, "gram long, term int, shift int")
+        lengths = F.element_at(F.array(*[F.lit(len(t) - 2) for t in terms]), F.col("term") + 1)
+        some = self.postings.where(F.col("gram").isin(sorted({g for g, _, _ in need}))).join(F.broadcast(wanted), "gram")
+        one = some.where(lengths == 1).select("term", "chunk_id", "doc_id", "n", F.size("places").cast("long").alias("tf"))
+        starts = some.where(lengths > 1).select("term", "chunk_id", "doc_id", "n", F.explode(F.transform("places", lambda p: p - F.col("shift"))).alias("at"))
+        whole = starts.groupBy("term", "chunk_id", "doc_id", "n", "at").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == lengths)
+        found = one if all(len(t) == 3 for t in terms) else one.union(whole.groupBy("term", "chunk_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("tf")))
+        counts = {r["term"]: r["d"] for r in found.groupBy("term").agg(F.count(F.lit(1)).alias("d")).collect()}
+        mean = self.size / self.rows if self.rows and self.size else 1.0
+        idf = [math.log((self.rows - counts.get(i, 0) + 0.5) / (counts.get(i, 0) + 0.5)) for i in range(len(terms))]
+        weight = F.element_at(F.array(*[F.lit(x if x > 0 else LEAST_IDF) for x in idf]), F.col("term") + 1)
+        norm = K1 * (F.lit(1 - B) + B * F.col("n") / F.lit(float(mean)))
+        part = weight * (F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
+        # added in the order of the phrases, so that equal chunks have equal scores
+        parts = F.array_sort(F.collect_list(F.struct("term", part.alias("s"))))
+        scored = found.groupBy("chunk_id", "doc_id").agg(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["s"]).alias("s"))
+        return scored.select("chunk_id", "doc_id", (-F.col("s")).alias("bm25"))

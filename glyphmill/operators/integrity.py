@@ -42,8 +42,21 @@ def chunk_count_errors(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def changed_texts(chunks: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Chunk ids whose indexed text is not the chunk's."""
-    return chunks.alias("c").join(indexed.alias("i"), "chunk_id").where(~F.col("c.text").eqNullSafe(F.col("i.text"))).select("chunk_id").distinct()
+    """Chunk ids whose indexed text (chunk_id, h: its hash) is not the chunk's."""
+    now = chunks.select("chunk_id", F.xxhash64("text").alias("now"))
+    return now.join(indexed.select("chunk_id", "h"), "chunk_id").where(F.col("now") != F.col("h")).select("chunk_id").distinct()
+
+
+def index_health(chunks: DataFrame, indexed: DataFrame, postings: DataFrame) -> DataFrame:
+    """(name, bad): how the full-text index and the chunks differ."""
+    ids = lambda df: df.select("chunk_id").distinct()
+    checks = {
+        "chunks_not_indexed": ids(chunks).join(ids(indexed), "chunk_id", "left_anti"),
+        "indexed_without_chunk": ids(indexed).join(ids(chunks), "chunk_id", "left_anti"),
+        "postings_without_chunk": ids(postings).join(ids(chunks), "chunk_id", "left_anti"),
+        "indexed_text_differs": changed_texts(chunks, indexed),
+    }
+    return reduce(DataFrame.union, [rows.agg(F.count(F.lit(1)).alias("bad")).select(F.lit(name).alias("name"), "bad") for name, rows in checks.items()])
 
 
 def length_errors(chunks: DataFrame) -> DataFrame:

@@ -22,7 +22,10 @@ from glyphmill.runtime import stage
 # Statuses by severity, limits, and the marks around quotations.
 SEVERITY = ["verbatim", "whitespace", "annotated", "loose", "modified", "other_doc", "not_in_body", "not_found", "error"]
 GOOD = ("verbatim", "whitespace", "loose", "annotated")
-MIN_CHARS, SEED, MODIFIED_RATIO, SUGGEST_RATIO = 4, 8, 0.6, 0.3
+#: Order of the search: the text of the document (of any where none is declared), what lies beside its text, other
+#: documents, and only then what is merely similar.
+RANK = {s: k for k, s in enumerate(["verbatim", "whitespace", "annotated", "loose", "not_in_body", "other_doc", "modified", "not_found"])}
+MIN_CHARS, SEED, MODIFIED_RATIO, SUGGEST_RATIO, CONTEXT = 4, 8, 0.6, 0.3, 90
 ELLIPSIS = r"…+|\.{3,}|【\s*…+\s*】|\[\s*…+\s*\]|<\s*…+\s*>"
 EDGES = " \t\r\n　「」『』“”\"'‘’`（）()[]【】《》<>·*—"
 ASIDE = r"[（(][^（()）]{1,40}[)）]"
@@ -261,18 +264,18 @@ class Nearness:
         return out
 
 
-_FOUND = "quote_id long, part int, doc_id long, status string, severity int, start_pos int, end_pos int, ratio double, occurrences int, matched string, extra array<string>, missing array<string>, in_chunk boolean"
+_FOUND = "quote_id long, part int, doc_id long, status string, severity int, start_pos int, end_pos int, ratio double, occurrences int, matched string, extra array<string>, missing array<string>, in_chunk boolean, context string, annotations array<string>"
 
 
 def _batch(out: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*out, strict=True)) if out else [[]] * 13
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_()]
+    columns = list(zip(*out, strict=True)) if out else [[]] * 15
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.list_(pa.string())]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
 
 
 def _best(found: DataFrame) -> DataFrame:
     return found.groupBy("quote_id", "part").agg(
-        F.min_by(F.struct("doc_id", "status", "severity", "start_pos", "end_pos", "ratio", "occurrences", "matched", "extra", "missing", "in_chunk"), F.struct("severity", -F.col("ratio"), "doc_id")).alias("b")
+        F.min_by(F.struct("doc_id", "status", "severity", "start_pos", "end_pos", "ratio", "occurrences", "matched", "extra", "missing", "in_chunk", "context", "annotations"), F.struct("severity", -F.col("ratio"), "doc_id")).alias("b")
     )
 
 
@@ -313,13 +316,19 @@ def _located(rows: DataFrame, blocks: int, docs: DataFrame) -> DataFrame:
                         status, a, b, ratio, times = judge(quote, hay, whole, False)
                         if status == "not_found" or own_doc is not None and own_doc != doc and status not in GOOD:
                             continue
+                        source = whole if status == "not_in_body" else hay
+                        stripped = status == "annotated"
+                        asides = [] if status == "not_in_body" else [x for x in re.findall(ASIDE, quote) if stripped or x not in source.text[a:b]]
+                        if asides and status in GOOD:
+                            status = "annotated"
                         judged = status
                         if own_doc is not None and own_doc != doc:
                             status = "other_doc"
-                        actual = (whole if judged == "not_in_body" else hay).text[a:b]
-                        extra, missing = ([], []) if judged == "verbatim" else differences(quote, actual)
-                        inside = in_chunk(re.sub(ASIDE, "", quote) if judged == "annotated" else quote, hay.text)
-                        out.append((q, part, doc, status, SEVERITY.index(status), a, b, ratio, times, actual, extra, missing, inside))
+                        actual = source.text[a:b]
+                        plain = re.sub(ASIDE, "", quote) if stripped else quote
+                        extra, missing = ([], []) if judged == "verbatim" else differences(plain, actual)
+                        context = source.text[max(0, a - CONTEXT) : b + CONTEXT]
+                        out.append((q, part, doc, status, RANK[status], a, b, ratio, times, actual, extra, missing, in_chunk(plain, hay.text), context, asides))
                 yield _batch(out)
 
         hits = docs.select(F.col("doc_id").cast("long"), "body", "body_raw").mapInArrow(look, _FOUND)
@@ -362,7 +371,8 @@ def _similar(rows: DataFrame, blocks: int, docs: DataFrame, floor: float) -> Dat
                             least[i] = nearness.least(ratio)[i]
                         actual = hay.text[start:end]
                         status = "modified" if ratio >= MODIFIED_RATIO else "not_found"
-                        out.append((q, part, doc, status, SEVERITY.index(status), start, end, ratio, 0, actual, *differences(quote, actual), False))
+                        context = hay.text[max(0, start - CONTEXT) : end + CONTEXT]
+                        out.append((q, part, doc, status, RANK[status], start, end, ratio, 0, actual, *differences(quote, actual), in_chunk(actual, hay.text), context, []))
                 yield _batch(out)
 
         hits = docs.select(F.col("doc_id").cast("long"), "body", "body_raw").mapInArrow(look, _FOUND)
@@ -371,13 +381,12 @@ def _similar(rows: DataFrame, blocks: int, docs: DataFrame, floor: float) -> Dat
 
 
 def verify_fragments(parts: DataFrame, docs: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """The verdict on each fragment: its best document in the order of severity, then ratio, then id.
+    """The verdict on each fragment: its best document in the order of RANK, then ratio, then id.
 
     ``docs`` has doc_id, body and body_raw. One pass over the documents locates the
     quotes of a block, where a document holds a seed of the quote (eight characters,
     punctuation aside) or is the declared one; a second one compares the quotes that
-    are located nowhere or only badly with all documents that can be as similar as
-    SUGGEST_RATIO. Each verdict has the matched text, what the quote has beyond it (extra)
+    are located nowhere with all documents that can be as similar as SUGGEST_RATIO. Each verdict has the matched text, what the quote has beyond it (extra)
     and lacks (missing), and whether a chunk holds the quote; below MODIFIED_RATIO the
     matched text is the best suggestion. The best verdict is an aggregate, so nothing but verdicts is shuffled.
     """
@@ -388,8 +397,7 @@ def verify_fragments(parts: DataFrame, docs: DataFrame, fuzzy: bool = True) -> D
     short = F.length(F.regexp_replace("quote", r"(?U)\s", "")) < MIN_CHARS
     if fuzzy:
         best = stage(best)
-        done = best.where(F.col("b.severity") < SEVERITY.index("modified"))
-        found = _similar(rows.where(~short).join(done, ["quote_id", "part"], "left_anti"), blocks, docs, SUGGEST_RATIO)
+        found = _similar(rows.where(~short).join(best, ["quote_id", "part"], "left_anti"), blocks, docs, SUGGEST_RATIO)
         if found is not None:
             best = _best(best.select("quote_id", "part", "b.*").unionByName(found))
     full = rows.join(best, ["quote_id", "part"], "left").select("quote_id", "part", "quote", "declared", "b.*").drop("severity")
@@ -398,7 +406,7 @@ def verify_fragments(parts: DataFrame, docs: DataFrame, fuzzy: bool = True) -> D
 
 
 def verify_quotes(quotes: DataFrame, docs: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """(quote_id, status, ok, fragments, doc_id, matched, extra, missing, in_chunk, suggestion, ratio): the worst fragment decides; ok if all are good."""
+    """(quote_id, status, ok, fragments, doc_id, matched, extra, missing, in_chunk, suggestion, ratio, occurrences, context, annotations): the worst fragment decides; ok if all are good."""
     judged = verify_fragments(fragments(quotes), docs, fuzzy)
     order = F.array(*[F.lit(s) for s in SEVERITY])
     judged = judged.withColumn("suggestion", F.when(F.col("status") == "not_found", F.col("matched")))
@@ -406,18 +414,20 @@ def verify_quotes(quotes: DataFrame, docs: DataFrame, fuzzy: bool = True) -> Dat
     judged = judged.withColumn("severity", F.array_position(order, F.col("status")) - 1)
     return judged.groupBy("quote_id").agg(
         F.max_by("status", F.struct("severity", "part")).alias("status"), F.every(F.col("status").isin(*GOOD)).alias("ok"),
-        F.count(F.lit(1)).alias("fragments"), *[F.max_by(c, F.struct("severity", "part")).alias(c) for c in ("doc_id", "matched", "extra", "missing", "in_chunk", "suggestion", "ratio")],
+        F.count(F.lit(1)).alias("fragments"), *[F.max_by(c, F.struct("severity", "part")).alias(c) for c in ("doc_id", "matched", "extra", "missing", "in_chunk", "suggestion", "ratio", "occurrences", "context", "annotations")],
     )
 
 
-def summary(verdicts: DataFrame) -> DataFrame:
-    """One row of counts by kind of verdict."""
+def summary(verdicts: DataFrame, most: int = 10) -> DataFrame:
+    """One row of counts by kind of verdict, with the ids of the first ``most`` that failed."""
     n = lambda *s: F.count_if(F.col("status").isin(*s))
-    return verdicts.agg(
+    failed = verdicts.where(F.col("status").isin("not_in_body", "not_found", "error")).select("quote_id").orderBy("quote_id").limit(most)
+    counts = verdicts.agg(
         F.count(F.lit(1)).alias("total"), n("verbatim").alias("verbatim"), n("whitespace", "annotated", "loose").alias("warn"),
         n("modified").alias("modified"), n("other_doc").alias("other_doc"), n("not_in_body", "not_found", "error").alias("failed"),
         F.coalesce(F.every("ok"), F.lit(True)).alias("ok"),
     )
+    return counts.crossJoin(failed.agg(F.sort_array(F.collect_list("quote_id")).alias("failed_quotes")))
 
 
 def extract_quotes(articles: DataFrame) -> DataFrame:

@@ -84,13 +84,16 @@ def dominant_model(vectors: DataFrame) -> DataFrame:
     return model_groups(vectors).limit(1)
 
 
-def vector_top(vectors: DataFrame, query: list[float], limit: int = 200, id_col: str = "chunk_id") -> DataFrame:
-    """(chunk_id, cosine): the ``limit`` nearest rows of the query's dimension; ties by id.
+def vector_top(vectors: DataFrame, query: list[float], limit: int = 200, id_col: str = "chunk_id", every: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, cosine): the ``limit`` nearest rows of the model that most vectors (of ``every``, if given) are of; ties by id.
 
-    Top rows are kept per task before they meet (TakeOrderedAndProject).
+    No row where that model has another dimension than the query. The model is one row,
+    so it is the small side of the join. Top rows are kept per task before they meet
+    (TakeOrderedAndProject).
     """
     length = float(np.sqrt(sum(float(x) * float(x) for x in query)))
-    rows = well_formed(vectors).where(F.col("dim") == len(query))
+    model = dominant_model(vectors if every is None else every).where(F.col("dim") == len(query)).select("model", "dim")
+    rows = well_formed(vectors).join(F.broadcast(model), ["model", "dim"])
     scored = rows.select(F.col(id_col).alias("chunk_id"), (dot(F.col("vec"), query) / (norm(F.col("vec")) * length)).alias("cosine"))
     return scored.groupBy("chunk_id").agg(F.max("cosine").alias("cosine")).orderBy(F.desc("cosine"), "chunk_id").limit(limit)
 

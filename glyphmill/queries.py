@@ -21,6 +21,7 @@ _SQL: dict[str, str] = {}
 
 #: The query texts of the search queries.
 QUERY, SHORT_QUERY, MISSING = "那个记者认为水泥太地下，光水泥就花了", "水泥", "水泥 太"
+LONG_QUERY = "那个记者，水泥工厂 harbour warden 建筑师 auction"
 _DOC_VALUES = ["source_id", "rel_path", "title", "bvid", "date", "state", "status", "size", "n_chunks", "sha1"]
 
 
@@ -58,6 +59,14 @@ _DOCS = (
 )
 
 
+# Unicode's white space, which DuckDB's \\s and trim do not know
+_WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _sql_stripped(c: str) -> str:
+    return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks without repeated rows."""
     return read_table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "doc_id", "seq", "text").distinct()
@@ -79,12 +88,12 @@ def _parsed(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     r"""WITH s AS (SELECT doc_id, replace(replace(regexp_replace(coalesce(text, ''), '^\x{FEFF}+', ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents)
-    SELECT doc_id, length(t) AS n, len(string_split(t, chr(10))) AS lines FROM s"""
+    SELECT doc_id, length(t) AS n, len(string_split(t, chr(10))) AS lines, md5(t) AS digest FROM s"""
 )
 def text_normalized(spark: SparkSession, d: str) -> DataFrame:
     """Byte order marks and line ends."""
     t = T.normalize_newlines(T.strip_bom(F.coalesce("text", F.lit(""))))
-    return read_table(spark, d, "documents").select("doc_id", F.length(t).alias("n"), F.size(F.split(t, "\n")).cast("long").alias("lines"))
+    return read_table(spark, d, "documents").select("doc_id", F.length(t).alias("n"), F.size(F.split(t, "\n")).cast("long").alias("lines"), F.md5(t.cast("binary")).alias("digest"))
 
 
 @_query()
@@ -107,22 +116,15 @@ def doc_state_counts(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d).groupBy("state", "note").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(r"""SELECT chunk_id, CASE WHEN length(s) > 60 THEN substr(s, 1, 60) || '…' ELSE s END AS snippet FROM (
-    SELECT DISTINCT id AS chunk_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS s FROM chunks WHERE regexp_full_match(text, '[ -~\n\r\x{4E00}-\x{9FFF}，。！？]*'))""")
-def snippet_projection(spark: SparkSession, d: str) -> DataFrame:
-    """Snippets of chunks of plain characters, those that SQL folds alike (T11); all are in snippets_all."""
-    rows = read_table(spark, d, "chunks").where(F.col("text").rlike("^[ -~\n\r一-鿿，。！？]*$"))
-    return rows.select(F.col("id").alias("chunk_id"), T.snippet(F.col("text"), 60).alias("snippet")).distinct()
-
-
-@_query()
+@_query(f"""SELECT DISTINCT chunk_id, CASE WHEN length(s) > 60 THEN substr(s, 1, 60) || '…' ELSE s END AS snippet FROM (
+    SELECT id AS chunk_id, {_sql_stripped(f"regexp_replace(text, '{_WS}+', ' ', 'g')")} AS s FROM chunks WHERE text IS NOT NULL)""")
 def snippets_all(spark: SparkSession, d: str) -> DataFrame:
-    """Snippets of all chunks with text (T11); DuckDB's white space is not Unicode's, so there is no SQL."""
+    """Snippets of all chunks with text."""
     rows = read_table(spark, d, "chunks").where(F.col("text").isNotNull())
     return rows.select(F.col("id").alias("chunk_id"), T.snippet(F.col("text"), 60).alias("snippet")).distinct()
 
 
-@_query(r"""WITH RECURSIVE base AS (SELECT doc_id, trim(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x{3000}\x{FEFF}\x{A0}\x{200B}]')),
+@_query(f"""WITH RECURSIVE base AS (SELECT doc_id, {_sql_stripped("replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))")} AS t FROM documents WHERE text IS NOT NULL),
     walk AS (
       SELECT doc_id, t, length(t) AS n, 0 AS s, 0 AS k, -1 AS e0 FROM base WHERE length(t) > 350
       UNION ALL
@@ -131,24 +133,16 @@ def snippets_all(spark: SparkSession, d: str) -> DataFrame:
           SELECT *, strpos(reverse(substr(t, a + 1, w)), chr(10)) AS r FROM (
             SELECT *, greatest(s + 1, s + 290) AS a, (s + 350) - greatest(s + 1, s + 290) AS w FROM walk WHERE e0 < n))) ),
     spans AS (
-      SELECT doc_id, k, trim(substr(t, lag(s) OVER w + 1, e0 - lag(s) OVER w), ' ' || chr(9) || chr(10) || chr(13)) AS piece FROM walk WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
-    long_docs AS (SELECT doc_id, count(*) AS n_chunks, sum(length(piece)) AS chars FROM spans WHERE k > 0 AND (length(piece) >= 20 OR k = 1) GROUP BY doc_id),
-    short_docs AS (SELECT doc_id, 1 AS n_chunks, length(t) AS chars FROM base WHERE length(t) <= 350 AND length(t) > 0)
-    SELECT doc_id, n_chunks::BIGINT AS n_chunks, chars::BIGINT AS chars FROM long_docs UNION ALL SELECT doc_id, n_chunks, chars FROM short_docs""")
-def chunk_documents_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of the documents without blanks that SQL does not strip (T10, S8); all are in chunk_documents_all."""
-    rows = read_table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike("[\\u3000\\uFEFF\\u00A0\\u200B]"))
-    body = F.regexp_replace(T.normalize_newlines(F.col("text")), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
-    cut = chunk_documents(rows.select("doc_id", body.alias("body")))
-    return cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_chars").alias("chars"))
-
-
-@_query()
+      SELECT doc_id, k, {_sql_stripped("substr(t, lag(s) OVER w + 1, e0 - lag(s) OVER w)")} AS piece FROM walk WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+    kept AS (SELECT doc_id, k, piece FROM spans WHERE k > 0 AND (length(piece) >= 20 OR k = 1) UNION ALL SELECT doc_id, 1, t FROM base WHERE length(t) <= 350 AND length(t) > 0),
+    told AS (SELECT *, lag(piece) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM kept)
+    SELECT doc_id, count(*)::BIGINT AS n_chunks, sum(length(piece))::BIGINT AS chars, md5(string_agg(piece, '|' ORDER BY k)) AS digest FROM told WHERE piece IS DISTINCT FROM before GROUP BY doc_id""")
 def chunk_documents_all(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of every document's text, whatever blanks it holds."""
+    """Chunks of every document's text, with a digest of their texts in order."""
     body = T.stripped(T.normalize_newlines(F.col("text")))
     cut = chunk_documents(read_table(spark, d, "documents").select("doc_id", body.alias("body")))
-    return cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_chars").alias("chars"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "|")
+    return cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_chars").alias("chars"), F.md5(joined.cast("binary")).alias("digest"))
 
 
 @_query()
@@ -197,12 +191,35 @@ def fts_topk(spark: SparkSession, d: str) -> DataFrame:
     return best.select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
+_INDEXES: dict[tuple[str, str], fulltext.TextIndex] = {}
+
+
+def text_index(spark: SparkSession, d: str) -> fulltext.TextIndex:
+    """The full-text index of the chunks in ``d``, stored once in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        chunks = _chunks(spark, d)
+        _INDEXES[key] = fulltext.TextIndex.of(stage(fulltext.placed_postings(chunks)), stage(fulltext.indexed_rows(chunks)))
+    return _INDEXES[key]
+
+
 @_query(f"WITH {_bm25_sql(QUERY)} SELECT chunk_id, round(bm25, 4) + 0.0 AS bm25 FROM bm25")
 def fts_indexed(spark: SparkSession, d: str) -> DataFrame:
-    """All matches by way of the postings table."""
+    """All matches by way of the stored index, without a look at the texts."""
+    return text_index(spark, d).bm25(QUERY).select("chunk_id", F.round("bm25", 4).alias("bm25"))
+
+
+@_query(f"WITH {_bm25_sql(LONG_QUERY)} SELECT chunk_id, round(bm25, 4) + 0.0 AS bm25 FROM bm25")
+def fts_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The same for phrases of more than three characters, whose trigrams have to follow each other."""
+    return text_index(spark, d).bm25(LONG_QUERY).select("chunk_id", F.round("bm25", 4).alias("bm25"))
+
+
+@_query("""SELECT * FROM (VALUES ('chunks_not_indexed', 0::BIGINT), ('indexed_without_chunk', 0), ('postings_without_chunk', 0), ('indexed_text_differs', 0)) AS t(name, bad)""")
+def index_health(spark: SparkSession, d: str) -> DataFrame:
+    """The index against the chunks that it was made of: nothing differs."""
     chunks = _chunks(spark, d)
-    hits = fulltext.bm25_indexed(chunks, stage(fulltext.postings(chunks)), fulltext.corpus_stats(chunks), QUERY)
-    return hits.select("chunk_id", F.round("bm25", 4).alias("bm25"))
+    return integrity.index_health(chunks, stage(fulltext.indexed_rows(chunks)), text_index(spark, d).postings)
 
 
 @_query(f"WITH {_bm25_sql(QUERY)} SELECT chunk_id, round(bm25, 6) + 0.0 AS bm25 FROM bm25 JOIN docs_one USING (doc_id) WHERE state = 'indexed' AND date >= '2025-06' AND date <= '2026-03' ORDER BY bm25, chunk_id LIMIT 20")
@@ -232,6 +249,13 @@ def search_fts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("rank", "chunk_id", "doc_id", "fts_rank", "score")
 
 
+@_query(_SQL["search_fts"])
+def search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same by way of the stored index."""
+    rows = search(_docs(spark, d), _chunks(spark, d), QUERY, mode="fts", index=text_index(spark, d)).rows
+    return rows.select("rank", "chunk_id", "doc_id", "fts_rank", "score")
+
+
 def _probe(spark: SparkSession, d: str) -> list[float]:
     """A query vector: that of the smallest chunk id with a well-formed vector of 128 dimensions."""
     rows = vectors.well_formed(_vectors(spark, d)).where("dim = 128").orderBy("chunk_id", "vec").limit(1)
@@ -242,7 +266,8 @@ def _probe(spark: SparkSession, d: str) -> list[float]:
 _VECTORS = """ok AS (SELECT DISTINCT chunk_id, model, dim, vec::DOUBLE[] AS v FROM chunk_embeddings WHERE vec IS NOT NULL AND len(vec) = dim
       AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
     probe AS (SELECT v AS q FROM ok WHERE dim = 128 ORDER BY chunk_id, v LIMIT 1),
-    near AS (SELECT chunk_id, max(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)))) AS cosine FROM ok, probe WHERE dim = 128 GROUP BY chunk_id)"""
+    most AS (SELECT model, dim FROM chunk_embeddings GROUP BY model, dim ORDER BY count(*) DESC, model, dim LIMIT 1),
+    near AS (SELECT chunk_id, max(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)))) AS cosine FROM ok JOIN most USING (model, dim), probe WHERE dim = 128 GROUP BY chunk_id)"""
 
 
 @_query(f"WITH {_VECTORS} SELECT chunk_id, round(cosine, 4) AS cosine FROM near ORDER BY near.cosine DESC, chunk_id LIMIT 20")
@@ -251,11 +276,15 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return vectors.vector_top(_vectors(spark, d), _probe(spark, d), 20).select("chunk_id", F.round("cosine", 4).alias("cosine"))
 
 
-@_query(f"""WITH {_bm25_sql(QUERY)}, {_VECTORS},
+_HYBRID = f"""WITH {_bm25_sql(QUERY)}, {_VECTORS},
     a AS (SELECT chunk_id, row_number() OVER (ORDER BY bm25, chunk_id) AS r FROM (SELECT b.chunk_id, bm25 FROM bm25 b JOIN docs_one USING (doc_id) WHERE state = 'indexed' ORDER BY bm25, chunk_id LIMIT 200)),
     b AS (SELECT chunk_id, row_number() OVER (ORDER BY cosine DESC, chunk_id) AS r FROM (SELECT n.chunk_id, cosine FROM near n JOIN chunks_one USING (chunk_id) JOIN docs_one USING (doc_id) WHERE state = 'indexed' ORDER BY cosine DESC, chunk_id LIMIT 200)),
-    f AS (SELECT coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.r AS fts_rank, b.r AS vector_rank, coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0) AS score FROM a FULL JOIN b USING (chunk_id)),
-    m AS (SELECT f.*, c.doc_id, row_number() OVER (PARTITION BY c.doc_id ORDER BY score DESC, f.chunk_id) AS p FROM f JOIN chunks_one c USING (chunk_id))
+    f AS (SELECT coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.r AS fts_rank, b.r AS vector_rank, coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0) AS score FROM a FULL JOIN b USING (chunk_id)
+      ORDER BY score DESC, chunk_id LIMIT 200),
+    g AS (SELECT f.*, c.doc_id, date FROM f JOIN chunks_one c USING (chunk_id) JOIN docs_one d USING (doc_id))"""
+
+
+@_query(f"""{_HYBRID}, m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) AS p FROM g)
     SELECT chunk_id, doc_id, fts_rank::INTEGER AS fts_rank, vector_rank::INTEGER AS vector_rank, round(score, 6) AS score FROM m WHERE p <= 2 ORDER BY m.score DESC, chunk_id LIMIT 8""")
 def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Both arms, fused by reciprocal rank, capped per document."""
@@ -263,10 +292,19 @@ def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return result.rows.select("chunk_id", "doc_id", "fts_rank", "vector_rank", "score")
 
 
-@_query()
+@_query(_SQL["search_hybrid"])
+def search_indexed_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """The same by way of the stored index."""
+    result = search(_docs(spark, d), _chunks(spark, d), QUERY, _vectors(spark, d), query_vector=_probe(spark, d), index=text_index(spark, d))
+    return result.rows.select("chunk_id", "doc_id", "fts_rank", "vector_rank", "score")
+
+
+@_query(f"""{_HYBRID}, m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY date DESC, score DESC, chunk_id) AS p FROM g),
+    t AS (SELECT row_number() OVER (ORDER BY date DESC, m.score DESC, chunk_id)::INTEGER AS rank, chunk_id, date, round(score, 6) AS score FROM m WHERE p <= 2)
+    SELECT * FROM t WHERE rank <= 8""")
 def search_recent(spark: SparkSession, d: str) -> DataFrame:
     """The hybrid search, newest first."""
-    result = search(_docs(spark, d), _chunks(spark, d), QUERY, _vectors(spark, d), query_vector=_probe(spark, d), sort="recent")
+    result = search(_docs(spark, d), _chunks(spark, d), QUERY, _vectors(spark, d), query_vector=_probe(spark, d), sort="recent", index=text_index(spark, d))
     return result.rows.select("rank", "chunk_id", "date", "score")
 
 
@@ -282,11 +320,13 @@ def dominant_model(spark: SparkSession, d: str) -> DataFrame:
     return vectors.dominant_model(_vectors(spark, d)).select("model", "dim")
 
 
-@_query("""WITH f AS (SELECT vec::DOUBLE[] AS v FROM chunk_embeddings WHERE vec IS NOT NULL ORDER BY chunk_id, model LIMIT 400)
-    SELECT count(*) AS checked FROM f""")
+_NORMS = """f AS (SELECT sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) AS n FROM chunk_embeddings WHERE vec IS NOT NULL ORDER BY chunk_id, model LIMIT 400)"""
+
+
+@_query(f"WITH {_NORMS} SELECT count(*) AS checked, count(*) FILTER (isnan(n) OR abs(n - 1) > 1e-3) AS off FROM f")
 def vector_norms(spark: SparkSession, d: str) -> DataFrame:
-    """How many vectors the norm check looks at."""
-    return vectors.norm_check(_vectors(spark, d)).select("checked")
+    """How many of the first vectors are not of unit length."""
+    return vectors.norm_check(_vectors(spark, d))
 
 
 @_query(f"""WITH {_DOCS} SELECT count(*) AS docs, count(*) FILTER (state = 'indexed') AS indexed, count(*) FILTER (state = 'dead') AS dead, count(*) FILTER (state = 'empty') AS "empty",
@@ -327,10 +367,10 @@ def list_total(spark: SparkSession, d: str) -> DataFrame:
     return catalog.filtered_documents(_docs(spark, d), source=source).agg(F.count(F.lit(1)).alias("total"))
 
 
-@_query(f"WITH {_DOCS} SELECT bvid, max(date) AS date FROM docs_one WHERE bvid <> '' GROUP BY bvid")
+@_query(f"WITH {_DOCS} SELECT bvid, doc_id, date FROM (SELECT *, row_number() OVER (PARTITION BY bvid ORDER BY date DESC NULLS LAST, doc_id DESC) AS p FROM docs_one WHERE bvid <> '') WHERE p = 1")
 def latest_per_id(spark: SparkSession, d: str) -> DataFrame:
-    """Latest date of every external id."""
-    return _docs(spark, d).where(F.col("bvid") != "").groupBy("bvid").agg(F.max("date").alias("date"))
+    """The document of the latest date of every external id."""
+    return incremental.latest(_docs(spark, d).where(F.col("bvid") != ""), ["bvid"], [F.col("date"), F.col("doc_id")], ["doc_id", "date"])
 
 
 @_query("""SELECT doc_id, length(t) AS total_chars, 100 AS "offset", length(substr(t, 101, 500)) AS returned_chars, 100 + length(substr(t, 101, 500)) < length(t) AS has_more, substr(t, 101, 500) AS text
@@ -349,7 +389,7 @@ def chunks_without_vector(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT DISTINCT chunk_id FROM chunk_embeddings WHERE chunk_id NOT IN (SELECT id FROM chunks)")
 def vectors_without_chunk(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors whose chunk is gone."""
+    """Vectors whose chunk is gone."""
     return integrity.vectors_without_chunk(_chunks(spark, d), _vectors(spark, d))
 
 
@@ -372,9 +412,16 @@ def length_errors(spark: SparkSession, d: str) -> DataFrame:
     return integrity.length_errors(read_table(spark, d, "chunks").withColumnRenamed("id", "chunk_id"))
 
 
-@_query()
+@_query(f"""WITH {_DOCS}, {_NORMS}, c AS (SELECT doc_id, count(DISTINCT id) AS found FROM chunks GROUP BY doc_id)
+    SELECT 'chunks_without_vector' AS name, count(DISTINCT id) AS bad FROM chunks WHERE id NOT IN (SELECT chunk_id FROM chunk_embeddings WHERE chunk_id IS NOT NULL)
+    UNION ALL SELECT 'vectors_without_chunk', count(DISTINCT chunk_id) FROM chunk_embeddings WHERE chunk_id NOT IN (SELECT id FROM chunks)
+    UNION ALL SELECT 'chunk_count', count(*) FROM docs_one LEFT JOIN c USING (doc_id) WHERE state = 'indexed' AND n_chunks IS DISTINCT FROM coalesce(found, 0)
+    UNION ALL SELECT 'text_length', count(*) FROM (SELECT DISTINCT id, n_chars, length(text) FROM chunks WHERE n_chars IS DISTINCT FROM length(text))
+    UNION ALL SELECT 'wrong_dims', count(*) FROM chunk_embeddings WHERE vec IS NULL OR len(vec) <> dim
+    UNION ALL SELECT 'further_models', greatest(count(DISTINCT (model, dim)) - 1, 0) FROM chunk_embeddings
+    UNION ALL SELECT 'norms', count(*) FILTER (isnan(n) OR abs(n - 1) > 1e-3) FROM f""")
 def health(spark: SparkSession, d: str) -> DataFrame:
-    """All checks with the number of offending rows."""
+    """All checks of the tables with the number of offending rows (I3-I5, I7-I9); those of the index are in index_health."""
     chunks = read_table(spark, d, "chunks").withColumnRenamed("id", "chunk_id")
     return integrity.health(_docs(spark, d), chunks, _vectors(spark, d))
 

@@ -33,11 +33,16 @@ def test_index_follows_the_folder(spark, tmp_path):
     top = found.rows.first()
     assert found.mode == "hybrid" and top["title"] == "水泥" and top["rank"] == 1
     assert search(docs, chunks, "，。").mode == "empty" and "unknown source 'x'" in search(docs, chunks, "光水泥就花了", source="x").notes
+    assert {r["name"]: r["bad"] for r in index.health().collect()} == dict.fromkeys(("chunks_not_indexed", "indexed_without_chunk", "postings_without_chunk", "indexed_text_differs"), 0)
+    own = index.search("光水泥就花了")
+    assert [tuple(r) for r in own.rows.collect()] == [tuple(r) for r in found.rows.collect()] and own.arms["both"] > 0
+    assert search(docs, chunks, "光水泥就花了", mode="vector").mode == "vector(no-hit)"
+    assert search(docs, chunks, "没有这样的话呀", index.store.read("embeddings"), index.embedder, mode="fts").mode == "fts(no-hit)"
     other = Index(spark, str(tmp_path / "store"), settings, HashingEmbedder(32))
     notes = []
     assert other.fill_vectors(notes) == 0 and "rebuild" in notes[0]
     settings.values["scan"]["auto_index"] = False
-    assert index.run(settings["sources"][0]).locked and index.ensure_fresh() == []
+    assert index.run(settings["sources"][0]).locked and index.run(settings["sources"][0], full=True).locked and index.ensure_fresh() == []
     with pytest.raises(ValueError):
         index.reindex(source="nope")
 
@@ -49,5 +54,41 @@ def test_settings(tmp_path):
     assert loaded["chunk"] == {"size": 10, "overlap": 80} and loaded["sources"][0]["read_only"] is True and "_x" not in loaded.values
     assert as_bool("YES") and not as_bool(None) and as_int("7", 1, 0, 5) == 5 and as_int("x", 3, 0, 5) == 3
     assert as_mode("FTS") == ("fts", None) and as_mode("odd")[0] == "hybrid"
-    with pytest.raises(ValueError):
-        as_bool("maybe")
+    assert [as_bool(v, True) for v in ("", "y", "n", 2, 0.0, "maybe", None)] == [False, True, False, True, False, True, True]
+    assert as_int(float("inf"), 3, 0, 5) == 3
+
+
+def test_a_run_that_breaks_off_is_made_again(spark, tmp_path, monkeypatch):
+    lib = tmp_path / "lib"
+    lib.mkdir()
+    for name in "AB":
+        (lib / f"{name}.md").write_text(f"第{name}篇。" + "光水泥就花了三千条，那个记者不说话。" * 30, "utf-8")
+    settings = Settings(merged(Settings().values, {"sources": [{"id": "s", "root": str(lib), "include": ["*.md"], "exclude": [], "clean": True}]}))
+    index = Index(spark, str(tmp_path / "store"), settings)
+    upsert = index.store.upsert
+
+    def lost(name, *args, **more):
+        raise OSError("lost")
+
+    monkeypatch.setattr(index.store, "upsert", lost)
+    with pytest.raises(OSError):
+        index.run(settings["sources"][0])
+    monkeypatch.setattr(index.store, "upsert", upsert)
+    assert index.run(settings["sources"][0], most=1).counts["processed"] == 1
+    assert index.run(settings["sources"][0]).counts["processed"] == 1
+    chunks = index.store.read("chunks")
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() and chunks.select("doc_id").distinct().count() == 2
+    assert all(r["bad"] == 0 for r in index.health().collect())
+
+
+def test_phrases_by_the_stored_index(spark):
+    from glyphmill.operators.fulltext import TextIndex, bm25_scan, indexed_rows, placed_postings
+
+    rows = [(1, 1, "那个记者认为aaaa水泥"), (2, 1, "记者那个，那个记 者认为"), (3, 2, "AAAAAA harbour Harbour"), (4, 2, None), (5, 2, "ab"), (6, 3, ""), (7, 3, "harb our 那个记者")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, doc_id long, text string")
+    index = TextIndex.of(placed_postings(chunks), indexed_rows(chunks))
+    for query in ("那个记者", "那个记者认为", "aaaa", "harbour aaa", "水泥", "没有的词语"):
+        scan = {r["chunk_id"]: round(r["bm25"], 9) for r in bm25_scan(chunks, query).collect()}
+        assert {r["chunk_id"]: round(r["bm25"], 9) for r in index.bm25(query).collect()} == scan
+    empty = chunks.where("false")
+    assert TextIndex.of(placed_postings(empty), indexed_rows(empty)).bm25("那个记者").count() == 0

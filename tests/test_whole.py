@@ -88,6 +88,24 @@ def test_model_agreement(spark, tmp_path, monkeypatch):
     assert got["a", "c"]["mean_cosine"] is None
 
 
+def test_order_of_the_ladder(spark):
+    from glyphmill.operators import quotes
+
+    line = "他去了那个地方，买了三斤苹果和两只鸡"
+    docs = spark.createDataFrame(
+        [(1, "开头。" + line.replace("三", "五") + "。", "开头"), (2, "别处。" + line + "。" + line, None), (3, "正文没有。", "来源：档案馆抄本第七页\n正文没有。")],
+        "doc_id long, body string, body_raw string",
+    )
+    cases = [(1, line, 1), (2, line, None), (3, "来源：档案馆抄本第七页", 3), (4, "他去了（据说是走路）那个地方，买了三斤苹果", None), (5, "，。", None), (6, "完全没有写过的一句话在这里", 2)]
+    rows = spark.createDataFrame(cases, "quote_id long, quote string, declared long")
+    got = {r["quote_id"]: r for r in quotes.verify_quotes(rows, docs).collect()}
+    assert {i: (r["status"], r["doc_id"]) for i, r in got.items() if i < 5} == {1: ("other_doc", 2), 2: ("verbatim", 2), 3: ("not_in_body", 3), 4: ("annotated", 2)}
+    assert got[4]["annotations"] == ["（据说是走路）"] and got[4]["extra"] == [] and got[2]["occurrences"] == 2 and got[2]["context"].startswith("别处。")
+    assert got[5]["status"] == "error" and got[6]["status"] == "not_found"
+    one = quotes.summary(quotes.verify_quotes(rows, docs)).first()
+    assert (one["total"], one["failed"], one["failed_quotes"], one["ok"]) == (6, 3, [3, 5, 6], False)
+
+
 def test_details_of_verdicts(spark):
     from glyphmill.operators import quotes
 
