@@ -21,20 +21,28 @@ DOUBLE = ["gb18030", "big5", "cp932", "euc_kr"]
 PAIRS = [
     *[("utf-8", r) for r in SINGLE], *[("gbk", r) for r in SINGLE], *[("big5", r) for r in SINGLE[:2]],
     *[("utf-8", r) for r in DOUBLE], ("gbk", "big5"), ("gbk", "cp932"), ("gbk", "euc_kr"), ("big5", "gbk"), ("cp932", "gbk"), ("cp932", "big5"),
+    ("cp932", "western"), ("euc_kr", "western"), ("cp1251", "western"), ("koi8-r", "western"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"),
 ]
+#: Pairs that turn one character into one other.
+ALIGNED = {("gbk", "big5"), ("big5", "gbk"), ("cp932", "gbk"), ("cp932", "big5"), ("gbk", "euc_kr"), ("cp1251", "western"), ("koi8-r", "western"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r")}
 
 LOST = "\ufffd"
-#: Least count per code point of the corpus for a character to be one that a text was written with.
-COMMON = 2e-6
+#: Least count per code point of the corpus for a character to be one that a text was written with; for letters of the
+#: alphabets that look-alikes are taken from and that other texts are garbled into.
+COMMON, COMMON_ALPHABET = 2e-6, 1e-4
+#: Pictures, which may stand in any text, however rare.
+PICTURES = ("\U0001f300", "\U0001faff")
 #: Gain in log likelihood that a restored passage must bring, in all and per character.
 GAIN_ALL, GAIN_EACH = 10.0, 2.5
 _LOOK_ALIKE = set(CYRILLIC)
 _UTF8 = r"(?:[\xc3-\xdf][\x80-\xbf]|[\xe2-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}|\xc2[\xa0-\xbf\x80-\x9f])"
 _RUN_UTF8 = re.compile(f"{_UTF8}+")
-_RUN_UTF8_BYTES = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}|[\xc3-\xdf][\x80-\xbf](?=[\xe2-\xef][\x80-\xbf])){2,}")
+_RUN_UTF8_BYTES = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}|[\xc3-\xdf][\x80-\xbf](?=[\xe2-\xef][\x80-\xbf])){2,}")
 _RUN_DOUBLE = {
     "gbk": re.compile(r"(?:[\xa1-\xf7][\xa1-\xfe]){2,}"),
     "big5": re.compile(r"(?:[\xa1-\xc6][\x40-\x7e\xa1-\xfe]){3,}"),
+    "cp932": re.compile(r"(?:[\x81-\x9f\xe0-\xef][\x40-\x7e\x80-\xfc]){3,}"),
+    "euc_kr": re.compile(r"(?:[\xb0-\xc8][\xa1-\xfe]){2,}(?: (?:[\xb0-\xc8][\xa1-\xfe]){2,})*"),
 }
 _RUN_GBK_BYTES = re.compile(rb"(?:[\xa1-\xf7][\xa1-\xfe]){3,}")
 
@@ -53,7 +61,7 @@ def _byte_of(encoding: str) -> dict[str, int]:
 
 
 def count_characters(texts: DataFrame) -> dict[str, int]:
-    """How often each character of the first plane occurs in all of ``texts`` (text): at most 65 536 rows."""
+    """How often each character occurs in all of ``texts`` (text): at most as many rows as there are code points."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0x10000, dtype=np.int64)
@@ -62,6 +70,9 @@ def count_characters(texts: DataFrame) -> dict[str, int]:
             for a, b in slices(own):
                 points, _ = code_points(own[a:b])
                 total += np.bincount(points[points < 0x10000], minlength=0x10000)
+                at, n = np.unique(points[points >= 0x10000], return_counts=True)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n)], ["c", "n"])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["c", "n"])
 
@@ -77,16 +88,20 @@ class Garble:
         self.counts = counts
         least = max(2.0, COMMON * self.total)
         # what texts are written with: letters and the marks of the scripts that need another encoding
-        self.good = {c for c, n in counts.items() if ord(c) > 0x7F and n >= least and self._writable(c)}
+        self.good = {c for c, n in counts.items() if ord(c) > 0x7F and n >= least and self._writable(c, n / self.total)}
         self.good |= set("，。！？：；“”‘’、（）《》「」『』…—–„äöüßÄÖÜéèêëàâîïôùûçñáíóúãõåæøœÉÈÀÇÑÃÅØ")
         self.single = {e: _byte_of(e) for e in SINGLE}
         self.chars: dict[str, dict[str, bytes | None]] = {e: {} for e in DOUBLE + ["gbk"]}
-        self.aligned = {p: self._aligned(*p) for p in PAIRS if p in {("gbk", "big5"), ("big5", "gbk"), ("cp932", "gbk"), ("cp932", "big5"), ("gbk", "euc_kr")}}
+        self.aligned = {p: self._aligned(*p) for p in PAIRS if p in ALIGNED}
         self._build()
 
     @staticmethod
-    def _writable(c: str) -> bool:
-        return "぀" <= c <= "ヿ" or "一" <= c <= "鿿" or "、" <= c <= "〕" or "！" <= c <= "？" or c.isalpha() and c < "ƀ"
+    def _writable(c: str, share: float) -> bool:
+        if "\u0370" <= c <= "\u052f":
+            return share >= COMMON_ALPHABET and c.isalpha()
+        if "぀" <= c <= "ヿ" or "一" <= c <= "鿿" or "、" <= c <= "〕" or "！" <= c <= "？" or c >= "\U00020000" or PICTURES[0] <= c <= PICTURES[1]:
+            return True
+        return c.isalpha() and (c < "ƀ" or "\u0e00" <= c <= "\u0e7f" or "가" <= c <= "힣")
 
     def logp(self, c: str) -> float:
         """Log frequency of a character in the corpus."""
@@ -98,10 +113,10 @@ class Garble:
         for c in self.good:
             try:
                 seen = c.encode(wrote)
-                seen = seen.decode(read) if len(seen) == 2 else ""
+                seen = seen.decode("cp1252" if read == "western" else read) if len(seen) == 1 + (wrote not in SINGLE) else ""
             except UnicodeError:
                 continue
-            if len(seen) == 1 and seen != c and self.logp(c) - self.logp(seen) > 1:
+            if len(seen) == 1 and seen != c and not (wrote in SINGLE and seen in _LOOK_ALIKE) and self.logp(c) - self.logp(seen) > 1:
                 out[seen] = c
         return out
 
@@ -117,7 +132,8 @@ class Garble:
             elif read in self.single:
                 table = {b: c for c, b in reversed(self.single[read].items())}
                 both = {b: [c for c, x in self.single[read].items() if x == b] for b in table}
-                for c in self.good:
+                pictures = map(chr, range(ord(PICTURES[0]), ord(PICTURES[1]) + 1)) if wrote == "utf-8" else ()
+                for c in {*self.good, *pictures}:
                     try:
                         raw = c.encode(wrote)
                     except UnicodeError:
@@ -129,6 +145,8 @@ class Garble:
                             for seen in both.get(raw[k], []):
                                 self.place[k, ord(seen)] |= bit
                             self.place[k, ord(LOST)] |= bit
+                        elif k < len(raw) and wrote != "utf-8":
+                            self.place[k, raw[k]] |= bit
                         elif k >= len(raw):
                             self.place[k] |= bit if wrote == "utf-8" else np.uint64(0)
             else:
@@ -178,7 +196,7 @@ class Garble:
 
     def _accept(self, seen: str, restored: str, least: int) -> bool:
         high = [c for c in restored if ord(c) > 0x7F]
-        if len(high) < least or sum(c in self.good for c in high) < 0.8 * len(high):
+        if len(high) < least or sum(c in self.good or PICTURES[0] <= c <= PICTURES[1] for c in high) < 0.8 * len(high):
             return False
         gain = sum(map(self.logp, restored)) - sum(map(self.logp, seen))
         return gain > GAIN_ALL * (len(seen) > 3) and gain > GAIN_EACH * len(high)
