@@ -19,6 +19,8 @@ from glyphmill.llm.arrays import code_points, slices
 SEED_WIDE, SEED_LETTERS = 8, 20
 #: Shortest tile.
 TILE_WIDE, TILE_LETTERS = 5, 12
+#: Part of the needed share that seeds must give for a search with shorter matches.
+CLOSE = 0.6
 #: Items that are compared in one pass; their texts are broadcast, so this bounds the broadcast.
 ITEM_BLOCK = 5_000
 #: Largest gap between two tiles of one passage: so many times the item's length and so many tokens more.
@@ -134,6 +136,18 @@ class Items:
             yield wide, size, np.repeat(some, n), w[idx], a[idx]
 
 
+def shared_windows(text: np.ndarray, item: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """(place in text, place in item) of all windows of ``size`` tokens that both have, by Karp-Rabin hashes."""
+    own = rolling(item, size)
+    order = np.argsort(own, kind="stable")
+    h = rolling(text, size)
+    low = np.searchsorted(own[order], h, "left")
+    n = np.searchsorted(own[order], h, "right") - low
+    some = np.flatnonzero(n)
+    idx = np.repeat(low[some] - np.cumsum(n[some]) + n[some], n[some]) + np.arange(n.sum())
+    return list(zip(np.repeat(some, n[some]).tolist(), order[idx].tolist(), strict=True))
+
+
 def tiles(seeds: list[tuple[int, int]], size: int, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in text, place in item, length), non-overlapping in both, longest first.
 
@@ -204,10 +218,17 @@ def _search(items: Items, share: float):
                     for a, b in zip(edges[:-1], edges[1:], strict=True):
                         who = int(pair[a]) % len(items.ids)
                         length = len(items.parts[who])
-                        if (b - a) * size < share * length:
+                        if (b - a) * size < CLOSE * share * length:
                             continue
-                        found = tiles(list(zip(place[a:b].tolist(), at[a:b].tolist(), strict=True)), size, TILE_WIDE if wide else TILE_LETTERS)
-                        cover, _, _ = ordered_cover(found, GAP_TIMES * length + GAP_MORE)
+                        least, gap = TILE_WIDE if wide else TILE_LETTERS, GAP_TIMES * length + GAP_MORE
+                        found = tiles(list(zip(place[a:b].tolist(), at[a:b].tolist(), strict=True)), size, least)
+                        cover, first_at, end_at = ordered_cover(found, gap)
+                        if CLOSE * share * length <= cover < share * length:
+                            # the next search length: all matches of a tile's length around what was found
+                            which = int(pair[a]) // len(items.ids)
+                            low, high = max(int(starts[which]), int(first_at - gap)), min(int(starts[which + 1]) - 1, int(end_at + gap))
+                            found = tiles(shared_windows(seq[low:high], items.parts[who], least), least, least)
+                            cover = max(cover, ordered_cover(found, gap)[0])
                         if cover >= share * length:
                             out["doc_id"].append(ids[first + int(pair[a]) // len(items.ids)])
                             out["item_id"].append(items.ids[who])
@@ -226,8 +247,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, share: float = 1 / 3) -
 
     Compared are letters and digits without width, case and accent, so that changes of
     punctuation and spacing do not count. Seeds shared by item and text (Karp-Rabin) are
-    joined by hash, matches are marked longest first without overlap, and the heaviest
-    chain of tiles in order and close together is measured against the item's length.
+    joined by hash, matches are marked longest first without overlap, where they come close
+    to the share also those of a tile's length around them, and the heaviest chain of tiles in order and close together is measured against the item's length.
     An instruction that many items begin with is not counted; of an item shorter than a
     seed the whole is the seed, and one shorter than the shortest tile is everyday wording
     and never found. Whole texts are compared.
