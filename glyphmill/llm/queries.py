@@ -103,6 +103,19 @@ def _sequences(capacity: int) -> Query:
     return run
 
 
+def _audit(capacity: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        packed = _sequences(capacity)(spark, sf_dir)
+        per_sequence = packed.where("sequence >= 0").groupBy("sequence").agg(F.sum("tokens").alias("n"))
+        sums = per_sequence.agg(F.count_if(F.col("n") > capacity).alias("over"), (F.sum("n") >= 0.95 * capacity * F.count(F.lit(1))).alias("filled"))
+        per_document = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("tokens").alias("n"))
+        cut = per_document.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("n") <= capacity)).alias("divided"))
+        return cut.crossJoin(sums).select("documents", "over", "divided", "filled")
+
+    run.__doc__ = f"What the sequences of {capacity} tokens have to fulfil: all documents, none over the capacity, none divided without need, 95 % filled."
+    return run
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items that leaked into them."""
     return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
@@ -136,6 +149,8 @@ def queries() -> dict[str, Query]:
         "p6_nearest": p6_nearest,
         "p8_sequences_2048": _sequences(2048),
         "p8_sequences_8192": _sequences(8192),
+        "p8_audit_2048": _audit(2048),
+        "p8_audit_8192": _audit(8192),
         "p9_found": p9_found,
         "p9_leaks": p9_leaks,
         "p10_found": p10_found,
@@ -183,5 +198,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": "SELECT DISTINCT id FROM chunks WHERE length(text) > 350",
         "p2_found": _FUSED + "SELECT query_id, chunk_id FROM ranked WHERE rank <= 10",
         "p6_found": _NEAR,
+        "p8_audit_2048": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS over, 0::BIGINT AS divided, true AS filled FROM documents",
+        "p8_audit_8192": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS over, 0::BIGINT AS divided, true AS filled FROM documents",
         "p2_ranking": _FUSED + "SELECT query_id, chunk_id, rank::INTEGER AS rank FROM ranked",
     }
