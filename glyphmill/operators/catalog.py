@@ -44,8 +44,8 @@ def filtered_documents(
 
 
 def latest_by_id(docs: DataFrame, ext_id: str) -> DataFrame:
-    """The document of an external id with the latest date; ties go to the larger id."""
-    return docs.where(F.col("bvid") == ext_id).orderBy(F.desc("date"), F.desc("doc_id")).limit(1)
+    """The document of an external id (column ext_id or bvid) with the latest date; ties go to the larger id."""
+    return docs.where(F.col("ext_id" if "ext_id" in docs.columns else "bvid") == ext_id).orderBy(F.desc("date"), F.desc("doc_id")).limit(1)
 
 
 def by_path(docs: DataFrame, path: str) -> DataFrame:
@@ -71,6 +71,30 @@ def fetch_window(rows: DataFrame, offset: int = 0, max_chars: int = 20_000, anch
     )
 
 
+def fetch(
+    docs: DataFrame, chunks: DataFrame | None = None, chunk_id: int | None = None, doc_id: int | None = None,
+    path: str | None = None, ext_id: str | None = None, offset: int = 0, max_chars: int = 20_000,
+) -> DataFrame:
+    """A window of one document (``docs`` with doc_id, rel_path and body), named by a chunk, an id, a path or an external id.
+
+    With a chunk the window begins a little before it. No row for a name that is unknown.
+    """
+    max_chars = max(1, max_chars)
+    if chunk_id is not None:
+        if chunks is None:
+            raise ValueError("a chunk is named, but no chunks are given")
+        # one row, so it is the small side of the join
+        one = chunks.where(F.col("chunk_id") == chunk_id).select("doc_id", F.substring("text", 1, 60).alias("__anchor")).orderBy("doc_id", "__anchor").limit(1)
+        return fetch_window(docs.join(F.broadcast(one), "doc_id"), 0, max_chars, F.col("__anchor"))
+    if doc_id is not None:
+        return fetch_window(docs.where(F.col("doc_id") == doc_id), offset, max_chars)
+    if path:
+        return fetch_window(by_path(docs, path), offset, max_chars)
+    if ext_id:
+        return fetch_window(latest_by_id(docs, ext_id), offset, max_chars)
+    raise ValueError("name a chunk, a document, a path or an external id")
+
+
 def corpus_counts(docs: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row: documents by state, chunks and vectors."""
     d = docs.agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import clean_body, dead_reason, meta_fields, state_of, with_front_matter
+from glyphmill.functions.text import clean_body, dead_reason, junk_counts, meta_fields, state_of, with_front_matter
 from glyphmill.operators.chunking import chunk_array
 
 
@@ -38,3 +38,21 @@ def estimate(docs: DataFrame, size: int = 350, overlap: int = 80) -> DataFrame:
         F.count(F.lit(1)).alias("files"), F.count_if(F.col("state") == "dead").alias("dead"), F.count_if(F.col("state") == "empty").alias("empty"),
         F.sum(F.when(indexed, chars).otherwise(0)).alias("chars"), F.sum("k").alias("chunks"), F.max(chars).alias("max_chars"),
     )
+
+
+def report(docs: DataFrame, short: int = 200) -> DataFrame:
+    """What is odd about the parsed ``docs`` (with text) of each source, and the span of their dates.
+
+    Texts with a byte order mark, junk lines and texts that have any, dead ones, those
+    without front-matter and those of less than ``short`` characters, all characters, and
+    the documents of the latest and the earliest known date.
+    """
+    junk = junk_counts(F.col("body_raw"), F.col("title"))
+    rows = docs.withColumn("__junk", junk.getField("mojibake") + junk.getField("header") + junk.getField("heading"))
+    dated = F.when(F.col("date") != "", F.struct("date", "doc_id"))
+    return rows.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.startswith(F.col("text"), F.lit("\ufeff"))).alias("bom"), F.sum("__junk").alias("junk_lines"),
+        F.count_if(F.col("__junk") > 0).alias("with_junk"), F.count_if(F.col("state") == "dead").alias("dead"), F.count_if(~F.col("has_meta")).alias("no_front_matter"),
+        F.count_if((F.col("state") != "dead") & (F.length("body") < short)).alias("too_short"), F.sum(F.length("body")).alias("chars"),
+        F.max(dated).getField("doc_id").alias("newest"), F.min(dated).getField("doc_id").alias("oldest"),
+    )

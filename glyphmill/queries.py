@@ -157,6 +157,12 @@ def corpus_estimate(spark: SparkSession, d: str) -> DataFrame:
     return ingest.estimate(_parsed(spark, d))
 
 
+@_query()
+def corpus_report(spark: SparkSession, d: str) -> DataFrame:
+    """What is odd about the documents of each source."""
+    return ingest.report(_parsed(spark, d))
+
+
 @_query(r"""SELECT doc_id, list_slice(list_distinct_ordered, 1, 16) AS terms FROM (
     SELECT doc_id, list_filter(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN list_position(a, a[i]) = i THEN a[i] END), lambda x: x IS NOT NULL) AS list_distinct_ordered FROM (
       SELECT doc_id, flatten(list_transform(runs, lambda r: CASE
@@ -381,6 +387,18 @@ def fetch_window(spark: SparkSession, d: str) -> DataFrame:
     return catalog.fetch_window(rows, 100, 500)
 
 
+@_query(f"""WITH {_DOCS}, b AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE length(text) > 2000)),
+    a AS (SELECT doc_id, t, strpos(t, substr(t, 1001, 60)) - 1 AS p FROM b)
+    SELECT doc_id, length(t) AS total_chars, greatest(p - 100, 0)::INTEGER AS "offset", length(substr(t, greatest(p - 100, 0) + 1, 300)) AS returned_chars,
+      greatest(p - 100, 0) + length(substr(t, greatest(p - 100, 0) + 1, 300)) < length(t) AS has_more, substr(t, greatest(p - 100, 0) + 1, 300) AS text FROM a""")
+def fetch_by_chunk(spark: SparkSession, d: str) -> DataFrame:
+    """The window around a chunk that begins at the 1001st character of a document."""
+    docs = read_table(spark, d, "documents").select("doc_id", F.lit("").alias("rel_path"), F.col("text").alias("body"))
+    first = docs.where(F.length("body") > 2000).agg(F.min("doc_id").alias("doc_id"))
+    chunk = docs.join(F.broadcast(first), "doc_id").select(F.lit(1).cast("long").alias("chunk_id"), "doc_id", F.substring("body", 1001, 350).alias("text"))
+    return catalog.fetch(docs, chunk, chunk_id=1, max_chars=300)
+
+
 @_query("SELECT DISTINCT id AS chunk_id FROM chunks WHERE id NOT IN (SELECT chunk_id FROM chunk_embeddings WHERE chunk_id IS NOT NULL)")
 def chunks_without_vector(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that lack a vector."""

@@ -38,6 +38,19 @@ def test_index_follows_the_folder(spark, tmp_path):
     assert [tuple(r) for r in own.rows.collect()] == [tuple(r) for r in found.rows.collect()] and own.arms["both"] > 0
     assert search(docs, chunks, "光水泥就花了", mode="vector").mode == "vector(no-hit)"
     assert search(docs, chunks, "没有这样的话呀", index.store.read("embeddings"), index.embedder, mode="fts").mode == "fts(no-hit)"
+    from glyphmill import __main__ as command
+    from glyphmill.operators import catalog
+
+    settings.save(str(tmp_path / "c.json"))
+    run = lambda *words: command.rows_of(index, command.parser().parse_args([str(tmp_path), *words]))
+    assert run("search", "光水泥就花了", "--mode", "odd", "--top-k", "1")[0].count() == 1 and run("search", "光水泥就花了")[1]["mode"] == "hybrid"
+    assert run("list", "--limit", "x")[0].count() == 2 and run("stats")[0].count() == 1 and run("health")[0].count() == 4
+    chunk = chunks.orderBy("seq", ascending=False).first()
+    window = catalog.fetch(docs, chunks, chunk_id=chunk["chunk_id"], max_chars=90).first()
+    assert window["doc_id"] == chunk["doc_id"] and chunk["text"][:40] in window["text"]
+    assert catalog.fetch(docs, path="talk-A.md").first()["offset"] == 0 and catalog.fetch(docs, doc_id=-1).count() == 0
+    with pytest.raises(ValueError):
+        catalog.fetch(docs)
     other = Index(spark, str(tmp_path / "store"), settings, HashingEmbedder(32))
     notes = []
     assert other.fill_vectors(notes) == 0 and "rebuild" in notes[0]
