@@ -19,23 +19,22 @@ from glyphmill.llm.arrays import code_points
 from glyphmill.runtime import cut
 
 # Letters of other alphabets and the Latin letters they are drawn like.
-CYRILLIC = "аеорсухіјѕԁһԛԝАВЕЅІЈКМНОРСТУХԌԚԜ"
-CYRILLIC_AS = "aeopcyxijsdhqwABESIJKMHOPCTYXGQW"
-GREEK = "ονυρικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
-GREEK_AS = "ovupikABEZHIKMNOPTYX"
+CYRILLIC = "аеорсухіјѕԁһԛԝүАВЕЅІЈКМНОРСТУХԌԚԜҮӀ"
+CYRILLIC_AS = "aeopcyxijsdhqwyABESIJKMHOPCTYXGQWYI"
+GREEK = "ονυρικαγΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
+GREEK_AS = "ovupikayABEZHIKMNOPTYX"
+LATIN = "ɑɡ"
+LATIN_AS = "ag"
 # Characters that show nothing, besides those of category Cf.
 INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5᠋᠌᠍\u3164\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f\uffa0"
 
-#: Decompositions that change only the width, the code block or the line breaking of a character.
-SAME_LOOK = ("<wide>", "<narrow>", "<compat>", "<noBreak>")
+#: Decompositions that change only the width, the type face, the code block or the line breaking of a character.
+SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<compat>", "<noBreak>")
 _EMOJI = "\U0001f000-\U0001faff☀-➿"
-#: Texts without any of these characters are their own form; cheap in the JVM.
-PLAIN = (
-    r"[^ -~\n¡-¬®-ſ、-・一-鿿！（），：；？"
-    r"–-‟…]"
-)
+#: Characters that are their own form unless a table says otherwise.
+PLAIN = r"[ -~\n¡-¬®-ſ、-・一-鿿！（），：；？–-‟…]"
 
-_ODD = re.compile(PLAIN)
+_ODD = re.compile(PLAIN.replace("[", "[^", 1))
 
 
 class Classes:
@@ -92,7 +91,7 @@ def classes() -> Classes:
             found.join(c, "")
         elif plain := _same_look(c):
             found.join(c, plain)
-    for other, latin in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS)):
+    for other, latin in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (LATIN, LATIN_AS)):
         for a, b in zip(other, latin, strict=True):
             found.join(a, b)
     for line in ("\r\n", "\r", "\x85", "\u2028", "\u2029"):
@@ -160,12 +159,24 @@ class _Mapping(dict):
 
 
 def rewriter(table: dict[str, str]):
-    """Function that replaces every member in one pass, longest match first."""
+    """Function that gives the forms of texts: every member replaced in one pass, longest match first.
+
+    Texts of characters that no member and no accent is made of are their own form; they
+    are told by a table over code points, for all texts at once.
+    """
     single = _Mapping((ord(m), r) for m, r in table.items() if len(m) == 1)
     longer = sorted((m for m in table if len(m) > 1 and m != "\r\n"), key=len, reverse=True)
     strings = re.compile("|".join(map(re.escape, longer))) if longer else None
     # between two pictures the joiner makes them one
     joined = re.compile(f"(?<=[{_EMOJI}\ufe0f])\u200d(?=[{_EMOJI}])")
+    odd = np.ones(sys.maxunicode + 1, dtype=bool)
+    for c in map(chr, range(0x10000)):
+        if not _ODD.match(c):
+            odd[ord(c)] = False
+    odd[[ord(m[0]) for m in table if m]] = True
+    for c in np.flatnonzero(~odd).tolist():
+        # an accented letter is odd where its letter is
+        odd[c] = any(odd[ord(x)] for x in unicodedata.normalize("NFD", chr(c))[:1])
 
     def once(text: str) -> str:
         text = text.replace("\r\n", "\n")
@@ -175,29 +186,33 @@ def rewriter(table: dict[str, str]):
             return "\u200d".join(part.translate(single) for part in joined.split(text))
         return text.translate(single)
 
-    def rewrite(text: str) -> str:
-        form = unicodedata.normalize("NFC", once(unicodedata.normalize("NFD", text)))
+    def form(text: str) -> str:
+        out = unicodedata.normalize("NFC", once(unicodedata.normalize("NFD", text)))
         # a character that only now has its accent may be a member itself
-        return once(form) if strings else form
+        return once(out) if strings else out
+
+    def forms(texts: list[str | None]) -> list[str | None]:
+        points, starts = code_points([t or "" for t in texts])
+        points = points.copy()
+        points[starts[1:] - 1] = ord("a")  # the gaps between texts
+        out = list(texts)
+        for i in np.unique(np.searchsorted(starts, np.flatnonzero(odd[points]), "right") - 1).tolist():
+            out[i] = form(texts[i])
+        return out
 
-    return rewrite
+    return forms
 
 
 def one_form(text: Column, table: dict[str, str]) -> Column:
-    """``text`` with look-alikes replaced by their representatives; null for null.
-
-    Texts of plain characters stay in the JVM.
-    """
+    """``text`` with look-alikes replaced by their representatives; null for null."""
 
     @F.pandas_udf("string")
     def rewrite(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         change = rewriter(dict(table))
         for s in texts:
-            yield s.map(lambda t: None if t is None else change(t))
+            yield pd.Series(change([None if t is None else t for t in s]), index=s.index, dtype=object)
 
-    # where even a plain string has another representative, every text has to be looked at
-    odd = text.rlike(PLAIN) if all(_ODD.search(m) for m in table) else text.isNotNull()
-    return F.when(odd, rewrite(F.when(odd, text))).otherwise(text)
+    return rewrite(text)
 
 
 def with_form(texts: DataFrame, text_col: str = "text", out: str = "form") -> DataFrame:
