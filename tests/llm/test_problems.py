@@ -106,6 +106,14 @@ def test_look_alikes(spark):
     assert lookalikes.same_look_pairs(df.where("false")).count() == 0
 
 
+def test_plain_texts_follow_their_class():
+    # a letter of another alphabet is the most frequent of its class
+    table = lookalikes.representatives({"Е": 9, "E": 3})
+    assert table["E"] == "Е"
+    forms = lookalikes.rewriter(table)(["É E", "E\u0301 Е", None, "", "水泥"])
+    assert forms[0] == forms[1] and forms[2:] == [None, "", "水泥"]
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(2)
     word = lambda: "".join(chr(int(c)) for c in rng.integers(0x4E00, 0x5E00, 6))
@@ -232,32 +240,59 @@ SENTENCES = [
 ]
 
 
+LESSONS = [
+    "The old clerk sold it. Mr. Smith saw no. 5 at 6 a.m. The dog slept. J. B. Hill left.\n\nIt ended. Then Martin saw Ann. He met Wilson. She saw Bob. They came. ",
+    "“Where?” asked the clerk. The porter wrapped\nit here. (See vol. 3.) He left ... and came. Stop! Now? Yes.",
+    "“走了。”他说。钟声停了！谁知道？没有人……后来呢？有……有人说：“好！”天亮了。\n主持人：你好。我来了。\n没有句号的一行\n又是一行",
+    "甲看《怎么办？》很久。（完。）乙走了。价格3.5元，涨了2.1倍。后来（是的。）他来了！天晴（不是。）还冷。（完了。）",
+    "「行く。」と彼は言った。雨だ！次は何？分からない。\n「来た！」次の日だ。",
+    "แมวกินปลา หมานอน นกบินไป ฝนตกหนัก",
+]
+
+
+@pytest.fixture(scope="module")
+def boundary_model():
+    rows, labels = [], []
+    for text in LESSONS * 40:
+        own, marks = sentences.training_rows(text)
+        rows += own
+        labels += marks
+    return sentences.BoundaryModel().fit(rows, labels)
+
+
 @pytest.mark.parametrize("text,expected", SENTENCES)
-def test_sentences(text, expected):
-    model = sentences.PeriodModel()
-    source = "The old clerk sold it. Mr. Smith saw no. 5 at 6 a.m. The dog slept. J. B. Hill left.\n\nIt ended. Then Martin saw Ann. He met Wilson. She saw Bob. They came. " * 40
-    model.fit(*sentences.training_rows(source))
-    assert [text[a:b] for a, b in sentences.sentence_spans(text, model)] == expected
+def test_sentences(text, expected, boundary_model):
+    assert [text[a:b] for a, b in sentences.sentence_spans(text, boundary_model)] == expected
+
+
+def test_every_candidate_is_judged_by_the_model():
+    class Never(sentences.BoundaryModel):
+        def ends(self, shown):
+            return False
+
+    for text, _ in SENTENCES:
+        # only where nothing follows does a sentence end without the model
+        assert len({b for _, b in sentences.sentence_spans(text, Never())}) <= 1 or "#" in text or "\n主持" in text
 
 
 def test_sentence_rows(spark):
-    rows = [(1, "甲。乙。"), (2, None), (3, ""), (4, "One here. Two there.")]
+    rows = [(1, "甲。乙。"), (2, None), (3, ""), (4, "One here. Two there.")] + [(10 + i, t) for i, t in enumerate(LESSONS * 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, sentences.split_sentences(df).collect()))
-    assert got[:2] == [(1, 0, 2), (1, 2, 4)] and {r[0] for r in got} == {1, 4}
+    assert got[:2] == [(1, 0, 2), (1, 2, 4)] and {r[0] for r in got if r[0] < 10} == {1, 4}
     assert sentences.split_sentences(df.where("false")).count() == 0
 
 
-def test_period_model_on_held_out_text():
+def test_boundary_model_on_held_out_text():
     train = "The tram clerk sold it. Dr. Hill saw vol. 5, p. 7 there. Am 3. Mai kam er. He left at 7 p.m. The end came. " * 30
     rows, labels = sentences.training_rows(train + "\n\n" + train)
-    model = sentences.PeriodModel().fit(rows, labels)
+    model = sentences.BoundaryModel().fit(rows, labels)
     held, truth = sentences.training_rows("The wool porter hid it. Prof. Moor read vol. 8, p. 9 here. Am 9. Juni ging er. She came at 5 a.m. The bell rang.")
     assert sum((model.score(f) > 0) == bool(y) for f, y in zip(held, truth, strict=True)) >= 0.9 * len(truth)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p2_ranking", "p6_found"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p2_ranking", "p6_found", "p8_audit_2048"])
 def test_query_matches_sql(spark, name):
     import glob
 
@@ -273,3 +308,71 @@ def test_query_matches_sql(spark, name):
     result = con.execute(q.oracle_sql()[name])
     names = [x[0] for x in result.description]
     assert sorted(tuple(r[names.index(c)] for c in columns) for r in result.fetchall()) == sorted(map(tuple, df.select(*columns).collect()))
+
+
+def test_common_grams_on_both_sides_of_a_line():
+    wide = "".join(chr(0x4E00 + 7 * i) for i in range(90))
+    mixed = "".join(chr(0x4E00 + 11 * i) for i in range(36)) + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.-"[:63]
+    for a, b in ((wide[:79], wide[:82]), (mixed[:99], mixed[:99] + "vwxyz"), ("词" * 34 + mixed[36:], mixed[36:] + "词" * 30)):
+        sizes = set(neardup.gram_sizes(a)) & set(neardup.gram_sizes(b))
+        assert sizes
+    x, y = (neardup.fingerprints([t], [4])[0] for t in (wide[:79], wide[:82]))
+    assert (x == y).sum() > 36
+
+
+def test_crowded_entries_of_unlike_texts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(chr(int(c)) for c in rng.integers(0x4E00, 0x5E00, n))
+    # a common head puts all into the same entries; of each thirty two are copies with an edit
+    head = text(130)
+    rows = [("chunks", i, head + text(300)) for i in range(300)]
+    rows += [("chunks", 1000 + i, t[:200] + "改" + t[201:]) for _, i, t in rows[::30]]
+    df = spark.createDataFrame(rows, "rec string, id long, text string")
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    seen = []
+    links = neardup._Judge.links
+    monkeypatch.setattr(neardup._Judge, "links", lambda self, pairs: seen.append(pairs.count()) or links(self, pairs))
+    got = {tuple(r)[1:] for r in neardup.duplicate_pairs(neardup.near_duplicates(df)).collect()}
+    assert got == {(i, 1000 + i) for i in range(0, 300, 30)}
+    assert sum(seen) < 300 * 300 / 4
+
+
+def test_short_items_and_stock_over_all_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    text = lambda n: "".join(chr(int(c)) for c in rng.integers(0x4E00, 0x5E00, n))
+    short, stock = text(7), "请阅读下面的材料，然后回答问题。"
+    items = [(i, stock + text(60)) for i in range(40)] + [(90, short), (91, "the quick brown fox"), (92, "yes")]
+    docs = [(1, text(200) + short + text(200)), (2, "It was the QUICK, brown fox of old. " * 3), (3, stock + text(300)), (4, "yes yes"), (5, items[7][1])]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 90), (2, 91), (5, 7)}
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(d, q).collect()} == want
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", 4)
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(d, q).collect()} == want
+
+
+def test_shorter_matches_are_searched_where_seeds_come_close(spark):
+    rng = np.random.default_rng(12)
+    passage = [chr(int(c)) for c in rng.integers(0x4E00, 0x5E00, 90)]
+    # nine of ten tokens are unchanged, but only the first third in runs of a seed's length
+    edited = passage[:24] + [c if i % 7 else "改" for i, c in enumerate(passage[24:])]
+    d = spark.createDataFrame([(1, "开头。" + "".join(edited) + "。结尾")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "".join(passage))], "item_id long, text string")
+    row = leaks.leaked_items(d, q).first()
+    assert row and row["share"] > 0.8
+
+
+def test_tokens_are_those_of_the_whole_text():
+    import importlib
+
+    text = "abcdefghij " * 4000
+    encoding = packing._encoding(packing.tokenizer_path(packing.TOKENIZER), importlib.import_module("public_tokenizers").PATTERN)
+    assert packing.token_counts([text]) == [len(encoding.encode_ordinary(text))]
+
+
+def test_garbled_pictures_and_further_scripts(spark):
+    korean, russian = "안녕하세요 반갑습니다 오늘은", "вчера поезд опоздал на мосту"
+    good = [ZH * 20, korean * 20, russian * 20, "コンピュータのキーボード" * 20]
+    cases = ["好的" + "😀".encode().decode("cp1252", "replace"), "水😀泥".encode().decode("latin-1"), korean.encode("euc_kr").decode("latin-1"), russian.encode("cp1251").decode("latin-1")]
+    rows = [("t", 100 + i, good[i % 4]) for i in range(80)] + [("t", i, c) for i, c in enumerate(cases)] + [("t", 50, "好的😀"), ("t", 51, "Ça été là, señor; Ärger über Öl")]
+    got = {r["rec_id"]: r["restored"] for r in mojibake.repair(spark.createDataFrame(rows, "rec string, rec_id long, text string")).collect()}
+    assert got == {0: "好的😀", 1: "水😀泥", 2: korean, 3: russian}
