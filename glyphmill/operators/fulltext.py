@@ -187,21 +187,21 @@ def placed_postings(chunks: DataFrame) -> DataFrame:
 
 
 def indexed_rows(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, n, h): what the index holds of each chunk: its length in trigrams and a hash of its text."""
-    return chunks.select("chunk_id", F.greatest(F.length("text") - 2, F.lit(0)).cast("long").alias("n"), F.xxhash64("text").alias("h"))
+    """(chunk_id, doc_id, n, h): what the index holds of each chunk: its document, its length in trigrams and a hash of its text."""
+    return chunks.select("chunk_id", "doc_id", F.greatest(F.length("text") - 2, F.lit(0)).cast("long").alias("n"), F.xxhash64("text").alias("h"))
 
 
 class TextIndex:
-    """A stored full-text index: postings, and the number and total length of all chunks."""
+    """A stored full-text index: postings, the documents of the chunks, and the number and total length of all chunks."""
 
-    def __init__(self, postings: DataFrame, rows: int, size: int) -> None:
-        self.postings, self.rows, self.size = postings, rows, size
+    def __init__(self, postings: DataFrame, owners: DataFrame, rows: int, size: int) -> None:
+        self.postings, self.owners, self.rows, self.size = postings, owners, rows, size
 
     @classmethod
     def of(cls, postings: DataFrame, indexed: DataFrame) -> TextIndex:
         """The index of stored ``postings`` and ``indexed`` rows, whose totals are read once."""
         total = indexed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("size")).first()
-        return cls(postings, total["n"], total["size"])
+        return cls(postings, indexed.select("chunk_id", "doc_id"), total["n"], total["size"])
 
     def bm25(self, query: str, max_terms: int = 16) -> DataFrame:
         """(chunk_id, doc_id, bm25) of all chunks with a phrase of ``query``, scored as :func:`bm25_scan` does, without the texts.

@@ -91,8 +91,10 @@ def search(
         if vectors is None or query_vector is None:
             notes.append("vectors are not available: " + (embedder.reason if embedder is not None else "no embedder"))
         else:
-            near = vector_top(vectors.join(allowed.select("chunk_id"), "chunk_id", "left_semi"), query_vector, candidates, every=vectors)
-            near = chunks.select("chunk_id", "doc_id").join(F.broadcast(near), "chunk_id").distinct()  # at most ``candidates`` rows
+            owners = index.owners if index is not None else chunks.select("chunk_id", "doc_id")
+            own = owners.join(meta.select("doc_id"), "doc_id", "left_semi").select("chunk_id")
+            near = vector_top(vectors.join(own, "chunk_id", "left_semi"), query_vector, candidates, every=vectors)
+            near = owners.join(F.broadcast(near), "chunk_id").distinct()  # at most ``candidates`` rows
             vec = arm_ranks(near, [F.desc("cosine"), F.asc("chunk_id")], candidates, "vector_rank").collect()
     if sort not in ("relevance", "recent"):
         notes.append(f"unknown sort {sort!r}; relevance is used")
