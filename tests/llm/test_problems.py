@@ -376,3 +376,39 @@ def test_garbled_pictures_and_further_scripts(spark):
     rows = [("t", 100 + i, good[i % 4]) for i in range(80)] + [("t", i, c) for i, c in enumerate(cases)] + [("t", 50, "好的😀"), ("t", 51, "Ça été là, señor; Ärger über Öl")]
     got = {r["rec_id"]: r["restored"] for r in mojibake.repair(spark.createDataFrame(rows, "rec string, rec_id long, text string")).collect()}
     assert got == {0: "好的😀", 1: "水😀泥", 2: korean, 3: russian}
+
+
+def _linked(texts, minimum=0.6):
+    """Pairs within the components of a brute-force comparison of all texts."""
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            x, y = (a, b) if len(a) >= len(b) else (b, a)
+            if neardup.shared_share(x, y) > minimum or len(x) == len(y) and neardup.shared_share(y, x) > minimum:
+                root[find(i)] = find(j)
+    return {(j, i) for i in range(len(texts)) for j in range(i) if find(i) == find(j)}
+
+
+def test_scattered_edits_and_odd_lengths_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    letters, signs = "abcdefghijklmnopqrstuvwxyz ", [chr(int(c)) for c in rng.integers(0x4E00, 0x9E00, 3000)]
+    edited = lambda t, every: "".join(c if (i + 1) % every else "#" for i, c in enumerate(t))
+    texts = []
+    for alphabet, n, every in ((letters, 400, 17), (signs, 350, 7), (signs, 350, 9), (letters, 70, 6), (signs, 40, 5), (letters, 90, 14)):
+        for _ in range(4):
+            t = "".join(rng.choice(list(alphabet), n))
+            # a change in every few code points leaves no whole gram; then a part, and a short text repeated
+            texts += [t, edited(t, every), t[: int(0.63 * n)], t[:4], t[:4] * 30]
+    texts = list(dict.fromkeys(texts))
+    want = _linked(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("'chunks' AS rec", "id", "text")
+    for most in (neardup.LEAST_BLOCK, 1500):
+        monkeypatch.setattr(neardup, "LEAST_BLOCK", most)
+        got = {tuple(r)[1:] for r in neardup.duplicate_pairs(neardup.near_duplicates(df)).collect()}
+        assert len(want) > 90 and want == got
