@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 pytest.importorskip("glyphmill.llm.queries")
 
-from glyphmill.llm import fusion, leaks, lookalikes, mojibake, neardup, neighbours, packing, sentences, splitting  # noqa: E402
+from glyphmill.llm import fusion, leaks, lookalikes, mojibake, neardup, neighbours, packing, recurring, sentences, splitting  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 ZH = "那个记者认为水泥太地下，光水泥就花了三千条。"
@@ -412,3 +412,28 @@ def test_scattered_edits_and_odd_lengths_against_brute_force(spark, monkeypatch)
         monkeypatch.setattr(neardup, "LEAST_BLOCK", most)
         got = {tuple(r)[1:] for r in neardup.duplicate_pairs(neardup.near_duplicates(df)).collect()}
         assert len(want) > 90 and want == got
+
+
+def test_stock_wording_is_told_apart_without_whole_comparisons(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for n in rng.integers(3, 9, 400)]
+    phrases = [" ".join(rng.choice(words, 4)) for _ in range(300)]
+    texts = [" ".join(" ".join([*rng.choice(phrases, 1), *rng.choice(words, 2)]) for _ in range(10)) for _ in range(400)]
+    # a change in every 17 letters, and a part
+    texts += ["".join(c if (i + 1) % 17 else "#" for i, c in enumerate(texts[3])), texts[4][: int(0.7 * len(texts[4]))]]
+    texts.sort(key=len)
+    blocks = [recurring.Texts(np.arange(len(t)) + 1000 * k, t, np.full(len(t), 13), neardup.gram_hashes) for k, t in enumerate((texts[:201], texts[201:]))]
+    counts = np.zeros(1 << recurring.SAMPLE_BITS, dtype=np.uint32)
+    for block in blocks:
+        recurring.count_windows(block, 13, counts)
+    for block in blocks:
+        block.probes, block.free, block.need = recurring.telling(block, {13: recurring.levels(counts)}, 0.6)
+    compared, shares = [], recurring._shares
+    monkeypatch.setattr(recurring, "_shares", lambda *x: compared.append(len(x[3])) or shares(*x))
+    found = set()
+    for longer, other in ((blocks[0], blocks[0]), (blocks[1], blocks[1]), (blocks[1], blocks[0]), (blocks[0], blocks[1])):
+        recurring.pairs(longer, other, 0.6, found)
+    name = lambda g: texts[g if g < 1000 else g - 1000 + 201]
+    got = {tuple(sorted((name(x), name(y)))) for x, y in found}
+    assert got == {tuple(sorted((a, b))) for i, b in enumerate(texts) for a in texts[:i] if neardup.shared_share(b, a) > 0.6 or len(a) == len(b) and neardup.shared_share(a, b) > 0.6}
+    assert len(got) >= 2 and sum(compared) < 10
